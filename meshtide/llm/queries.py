@@ -7,17 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshtide.llm import exact_dedup, line_dedup, ngram_lm, simhash, substring_dedup
+from meshtide.llm import decontamination, exact_dedup, line_dedup, ngram_lm, packing, secret_scan, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the byte-level tokenizer; its package is outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), max_length=2048).drop("bucket", "ids")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    return toxicity.score_documents(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), max_bits=3)
 
@@ -38,7 +64,11 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
@@ -46,6 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        ts AS (SELECT DISTINCT t.item_id, array_to_string(list_slice(t.w, u.i, u.i + 4), ' ') AS s FROM t, LATERAL (SELECT unnest(range(1, len(t.w) - 3)) AS i) u),
+        ds AS (SELECT DISTINCT d.doc_id, array_to_string(list_slice(d.w, u.i, u.i + 4), ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(d.w) - 3)) AS i) u),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM ts GROUP BY item_id),
+        p AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN ts USING (s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+        FROM p JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles - 1e-9""",
     "op2_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         win AS (SELECT d.doc_id, u.i, hash(list_slice(d.w, u.i, u.i + 19)) AS h, list_slice(d.w, u.i, u.i + 19) AS s FROM d, LATERAL (SELECT unnest(range(1, len(d.w) - 18)) AS i) u),
