@@ -4,13 +4,15 @@ A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ
 ``max_bits`` = 3 bits differ in at most three bytes, so they share at least five positional
 bytes: that is the guaranteed minimum a pair's tally must reach. A list for each single
 (position, byte) would hold every 256th fingerprint, and tallying over its pairs would grow
-with the square of the corpus. The lists are therefore intersected five at a time: the
-posting key is a choice of five positions (56 of them) with their bytes, and two fingerprints
-meet under a key exactly when their tally reaches five. Pairs that meet are verified bit by bit.
+with the square of the corpus. The lists are therefore intersected several at a time. First
+four at a time: every choice of five positions holds one of some twenty choices of four, so two
+fingerprints with a tally of five share a posting of four. A posting that two fingerprints
+share is verified at once, bit by bit; one that more share is tallied a byte further, so
+that they meet under a key of five positions exactly when their tally reaches the minimum.
 
 Equal fingerprints are one entry of the index, however many documents have them. A posting
-leaves three bytes open, so it never holds more than 2**24 entries; inside one, not all pairs
-are written but a spanning forest of the links, as the result is components.
+of five positions leaves three bytes open, so it never holds more than 2**24 entries; inside
+one, not all pairs are written but a spanning forest of the links, as the result is components.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.arrowtext import ascii_lower, slices, spaced_words, utf8, word_spans
@@ -119,22 +121,44 @@ def spanning_links(values: np.ndarray, max_bits: int) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 2)
 
 
+def covering_choices(size: int, of: int = BYTES) -> list[tuple[int, ...]]:
+    """Choices of size - 1 positions such that every choice of size positions holds one of them, found greedily."""
+    open_ = set(combinations(range(of), size))
+    made = []
+    while open_:
+        best = max(combinations(range(of), size - 1), key=lambda c: (sum(set(c) <= set(x) for x in open_), c))
+        made.append(best)
+        open_ = {x for x in open_ if not set(best) <= set(x)}
+    return made
+
+
+def _key(positions: tuple[int, ...]) -> Column:
+    """The posting's key: the positions and their bytes, hashed; two postings under one key do no harm, as pairs are verified."""
+    return F.xxhash64(F.lit(sum(1 << k for k in positions)), F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << 8 * k for k in positions)))))
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(a, b): links that join all distinct fingerprints (column fp) that differ in at most max_bits bits, max_bits < 8."""
-    kept = [sum(0xFF << 8 * k for k in own) for own in combinations(range(BYTES), BYTES - max_bits)]
-    postings = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in kept))).alias("positions", "bytes"))
-    met = postings.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    met = saved(met, "simhash-met")
-    pairs = met.where("n = 2").select("a", "b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    crowded = met.where("n > 2").select("positions", "bytes")
-
-    def forest(key, table):
-        values = table["fp"].to_numpy().view(np.uint64)
-        links = spanning_links(values, max_bits)
-        return pa.table({"a": values[links[:, 0]].view(np.int64), "b": values[links[:, 1]].view(np.int64)})
-
-    more = postings.join(crowded, ["positions", "bytes"]).groupBy("positions", "bytes").applyInArrow(forest, "a long, b long")
-    return pairs.unionAll(more)
+    """(a, b): links that join all distinct fingerprints (column fp) that differ in at most max_bits bits, max_bits < 7."""
+    least = BYTES - max_bits
+    choices = covering_choices(least)
+    postings = fps.select("fp", F.posexplode(F.array(*map(_key, choices))).alias("choice", "key"))
+    shared = postings.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = saved(postings.join(shared, ["choice", "key"]), "simhash-met")
+    pairs = met.where("n = 2").groupBy("choice", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b")
+    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    # postings that more than two share are tallied one byte further, to the guaranteed minimum
+    further = [F.array(*(_key(tuple(sorted((*c, k)))) for k in range(BYTES) if k not in c)) for c in choices]
+    longer = met.where("n > 2").select("fp", F.explode(F.array(*further)[F.col("choice")]).alias("key")).distinct()
+    crowded = longer.groupBy("key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column(0):
+                values = own.values.to_numpy().view(np.uint64)
+                links = spanning_links(values, max_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(values[links[:, 0]].view(np.int64)), pa.array(values[links[:, 1]].view(np.int64))], ["a", "b"])
+
+    return pairs.unionAll(crowded.select("fps").mapInArrow(forest, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
