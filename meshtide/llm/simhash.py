@@ -5,7 +5,7 @@ A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ
 bytes: that is the guaranteed minimum a pair's tally must reach. A list for each single
 (position, byte) would hold every 256th fingerprint, and tallying over its pairs would grow
 with the square of the corpus. The lists are therefore intersected several at a time. First
-four at a time: every choice of five positions holds one of some twenty choices of four, so two
+four at a time: every choice of five positions holds one of fourteen choices of four, so two
 fingerprints with a tally of five share a posting of four. A posting that two fingerprints
 share is verified at once, bit by bit; one that more share is tallied a byte further, so
 that they meet under a key of five positions exactly when their tally reaches the minimum.
