@@ -26,7 +26,7 @@ from meshtide.llm.shared import saved
 SHINGLE = 5
 WORD = r"[^\x20\x09-\x0D]+"
 #: Signatures have 2**LEAST_BITS bins at least and 2**MOST_BITS at most.
-LEAST_BITS, MOST_BITS = 7, 32
+LEAST_BITS, MOST_BITS = 7, 24
 #: Of an item's minima, the share that a candidate must have.
 MEET = 0.2
 BROADCAST_ROWS = 2_000_000
@@ -63,7 +63,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     ids never pair. Empty tables give an empty result. Columns besides those named are not read.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    t = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null").distinct()
+    t = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
 
     known = saved(t.select("item_id", shingle_hashes("text", shingle).alias("h"), shingle_texts("text", shingle).alias("item_shingles")).where("size(h) > 0"), "items")
     by_size = known.select("item_id", "h", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS))).alias("bits"))
@@ -74,8 +74,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     sized = hashed.select("doc_id", "h", F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.ceil(F.log2(2.0 * F.greatest(F.size("h"), F.lit(1)))).cast("int"))).alias("bits"))
     signatures = sized.select("doc_id", "bits", F.explode(minima("h", "bits")).alias("least"))
     met = signatures.join(F.broadcast(signed) if few_items else signed, ["bits", "least"])
-    candidates = met.groupBy("doc_id", "item_id", "bits").agg(F.countDistinct("least").alias("n"), F.max("n_minima").alias("n_minima")).where(F.col("n") >= F.greatest(F.lit(1.0), F.floor(MEET * F.col("n_minima"))))
-    candidates = saved(candidates.select("doc_id", "item_id").distinct(), "contamination-candidates")
+    # a repeated row counts its minima again, which only lets a pair through to be verified
+    candidates = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_minima").alias("n_minima")).where(F.col("n") >= F.greatest(F.lit(1.0), F.floor(MEET * F.col("n_minima"))))
+    candidates = saved(candidates.select("doc_id", "item_id"), "contamination-candidates")
 
     per_doc = candidates.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"))
     few_docs = candidates.count() <= BROADCAST_ROWS // 8
