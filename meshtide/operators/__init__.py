@@ -1 +1 @@
-"""operators."""
+"""Operators on meshes."""

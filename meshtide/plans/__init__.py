@@ -1 +1,91 @@
-"""plans."""
+"""The public API: whole plans over vertices and faces of any number of meshes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from meshtide.model import Settings, validate
+from meshtide.operators import casting, components, prep, raster, rays, voting
+
+#: Up to so many faces in the largest mesh, and pairs of a ray and a face in all, rays are cast in SQL.
+SQL_FACES, SQL_PAIRS = 500, 2_000_000_000
+
+
+def _strategy(faces: DataFrame, settings: Settings) -> str:
+    if settings.strategy != "auto":
+        return settings.strategy
+    per_face = 100
+    sizes = faces.groupBy("mesh_id").count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
+    return "sql" if (sizes[0] or 0) <= SQL_FACES and (sizes[1] or 0) * per_face <= SQL_PAIRS else "arrow"
+
+
+def wind(faces: DataFrame, settings: Settings) -> DataFrame:
+    """faces with component and turned; facet-wise each face is its own component and none is turned."""
+    if settings.facet_wise:
+        return faces.select("mesh_id", "face_id", "a", "b", "c", F.col("face_id").alias("component"), F.lit(False).alias("turned"))
+    wound = components.orient_components(faces)
+    return wound.join(prep.turned(faces, wound), ["mesh_id", "face_id"])
+
+
+def reorient_facets_raycast(vertices: DataFrame, faces: DataFrame, check: bool = True, **options) -> DataFrame:
+    """(mesh_id, face_id, flip, component): which faces to flip so that all face outward. Options as in Settings."""
+    settings = Settings(**options)
+    if check:
+        validate(vertices, faces)
+    wound = wind(faces, settings)
+    tri = prep.with_normals(prep.gather(vertices, wound)).join(wound.select("mesh_id", "face_id", "component"), ["mesh_id", "face_id"])
+    allotted = rays.allot(tri, settings)
+    if _strategy(faces, settings) == "sql":
+        lines = rays.cast_lines(tri, rays.starts(tri, allotted, settings), settings)
+        if settings.use_parity:
+            votes = voting.parity_votes(casting.tally_odd(casting.crossings(lines, tri)))
+        else:
+            votes = voting.escape_votes(casting.tally(casting.nearest_hits(lines, tri)))
+    else:
+        tallied = casting.cast_in_arrow(tri, allotted, settings)
+        if settings.use_parity:
+            votes = voting.parity_votes(tallied.withColumnsRenamed({"front_escapes": "front_odd", "back_escapes": "back_odd"}))
+        else:
+            votes = voting.escape_votes(tallied)
+    return voting.flips(wound.select("mesh_id", "face_id", "component", "turned"), votes)
+
+
+def reorient(vertices: DataFrame, faces: DataFrame, **options) -> DataFrame:
+    """faces with those reversed that reorient_facets_raycast flips."""
+    return prep.apply_flips(faces, reorient_facets_raycast(vertices, faces, **options))
+
+
+def orient_components(faces: DataFrame) -> DataFrame:
+    """faces wound to agree with their neighbours, and their component."""
+    return components.orient_components(faces)
+
+
+def draw_backfacing_views(vertices: DataFrame, faces: DataFrame, resolution: int = 1024) -> DataFrame:
+    """(mesh_id, view, py, px, shows): drawn pixels of the six views, 1 front or 2 back; rows count from the bottom."""
+    tri = prep.gather(vertices, faces)
+    return raster.depth_test(raster.fragments(raster.screen_triangles(tri, resolution), resolution))
+
+
+def measure_backfacingness(vertices: DataFrame, faces: DataFrame, resolution: int = 1024) -> DataFrame:
+    """(mesh_id, backfacingness): the share of what six views see that is the backs of faces."""
+    meshes = vertices.select("mesh_id").union(faces.select("mesh_id"))
+    return raster.backfacingness(draw_backfacing_views(vertices, faces, resolution), meshes)
+
+
+# fixed values: the settings of each method of the evaluation
+METHODS = {"facet-wise": {}, "components": {"facet_wise": False}, "parity": {"use_parity": True}}
+
+
+def evaluate_corpus(vertices: DataFrame, faces: DataFrame, resolution: int = 1024, methods: dict[str, dict] | None = None) -> DataFrame:
+    """(mass, triangles, method, backfacingness) of deduplicated meshes, as published and after each method."""
+    faces = prep.dedupe_faces(faces)
+    sizes = faces.groupBy(F.col("mesh_id").alias("mass")).agg(F.count(F.lit(1)).cast("int").alias("triangles"))
+    rows = []
+    for name, options in [("as published", None), *(METHODS if methods is None else methods).items()]:
+        turned = faces if options is None else reorient(vertices, faces, **options)
+        rows.append(measure_backfacingness(vertices, turned, resolution).select(F.col("mesh_id").alias("mass"), F.lit(name).alias("method"), "backfacingness"))
+    made = rows[0]
+    for row in rows[1:]:
+        made = made.unionByName(row)
+    return made.join(sizes, "mass").select("mass", "triangles", "method", "backfacingness")

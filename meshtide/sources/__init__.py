@@ -1 +1,144 @@
-"""sources."""
+"""Sources and sinks: OFF files, numpy arrays, results tables, polygon binaries."""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshtide.model import AXES, FACES, RESULTS, VERTICES
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(mesh_id, text): OFF files under a path or glob, one row per file, named by its stem."""
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return read.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("mesh_id"), "text")
+
+
+def parse_off(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of OFF texts (mesh_id, text): OFF, three counts, vertex lines, then face rows whose first number, 3, is dropped."""
+    words = texts.select("mesh_id", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
+    counted = words.select("mesh_id", "w", F.col("w")[1].cast("int").alias("nv"), F.col("w")[2].cast("int").alias("nf"))
+
+    def rows(n: str, first, width: int):
+        numbers = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda i: F.struct(i.cast("bigint").alias("i"), *(F.get("w", first + i * width + k).alias(f"v{k}") for k in range(width))))
+
+    vertices = counted.select("mesh_id", F.explode(rows("nv", F.lit(4), 3)).alias("r"))
+    faces = counted.select("mesh_id", F.explode(rows("nf", F.lit(4) + 3 * F.col("nv"), 4)).alias("r"))
+    return (
+        vertices.select("mesh_id", F.col("r.i").alias("vertex_id"), *(F.col(f"r.v{k}").cast("double").alias(x) for k, x in enumerate(AXES))),
+        faces.select("mesh_id", F.col("r.i").alias("face_id"), *(F.col(f"r.v{k + 1}").cast("bigint").alias(x) for k, x in enumerate("abc"))),
+    )
+
+
+def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return parse_off(read_texts(spark, path))
+
+
+def format_off(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(mesh_id, text): meshes as OFF texts, coordinates to three decimals."""
+    v = vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("nv"), F.array_sort(F.collect_list(F.struct("vertex_id", F.format_string("%.3f %.3f %.3f", *AXES).alias("line")))).alias("v"))
+    f = faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("nf"), F.array_sort(F.collect_list(F.struct("face_id", F.format_string("3 %d %d %d", "a", "b", "c").alias("line")))).alias("f"))
+    lines = F.concat(F.array(F.lit("OFF"), F.format_string("%d %d 0", "nv", F.coalesce("nf", F.lit(0)))), F.col("v.line"), F.coalesce(F.col("f.line"), F.array().cast("array<string>")))
+    return v.join(f, "mesh_id", "left").select("mesh_id", F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+
+
+def write_off(vertices: DataFrame, faces: DataFrame, path: str) -> None:
+    """One text a mesh under path/mesh_id=<name>/."""
+    format_off(vertices, faces).write.mode("overwrite").partitionBy("mesh_id").option("lineSep", "").text(path)
+
+
+def from_arrays(spark: SparkSession, mesh_id: str, vertices, faces) -> tuple[DataFrame, DataFrame]:
+    """One mesh from anything numpy reads as n x 3 numbers and m x 3 corners; faces given as floats are truncated."""
+    v = np.asarray(vertices, np.float64).reshape(-1, 3)
+    f = np.asarray(faces).astype(np.int64).reshape(-1, 3)
+    if len(f) and (f.min() < 0 or f.max() >= len(v)):
+        raise IndexError("a face has a corner that is no vertex")
+    if not np.isfinite(v).all():
+        raise ValueError("a vertex has a coordinate that is not finite")
+    vt = [(mesh_id, i, *map(float, p)) for i, p in enumerate(v)]
+    ft = [(mesh_id, i, *map(int, p)) for i, p in enumerate(f)]
+    return spark.createDataFrame(vt, VERTICES), spark.createDataFrame(ft, FACES)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results table from CSV with a header; blanks are null."""
+    return spark.read.csv(path, header=True, schema=RESULTS)
+
+
+def format_results(results: DataFrame) -> DataFrame:
+    """The results table as text columns: scores to four decimals, times to three."""
+    score = F.format_string("%.4f", "backfacingness")
+    times = {k: F.when(F.col(k).isNotNull(), F.format_string("%.3f", k)) for k in ("seconds", "cpu_seconds")}
+    return results.select("mass", "triangles", "method", score.alias("backfacingness"), *(v.alias(k) for k, v in times.items()))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    format_results(results).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
+
+
+def read_rings(data: bytes) -> list[list[list[tuple[float, float, float]]]]:
+    """Polygons of a well-known binary: each a list of rings without their closing corner. Points and lines have none; every other kind is walked."""
+    made: list[list[list[tuple[float, float, float]]]] = []
+
+    def walk(at: int) -> int:
+        order = "<" if data[at] else ">"
+        (kind,) = struct.unpack_from(order + "I", data, at + 1)
+        at += 5
+        high, measured = bool(kind & 0x80000000), bool(kind & 0x40000000)
+        if kind & 0x20000000:
+            at += 4
+        kind &= 0x0FFFFFFF
+        high, measured, kind = high or kind // 1000 in (1, 3), measured or kind // 1000 in (2, 3), kind % 1000
+        width = 2 + high + measured
+
+        def corners(at: int) -> tuple[list[tuple[float, float, float]], int]:
+            (n,) = struct.unpack_from(order + "I", data, at)
+            flat = struct.unpack_from(f"{order}{n * width}d", data, at + 4)
+            return [(flat[i], flat[i + 1], flat[i + 2] if high else 0.0) for i in range(0, n * width, width)], at + 4 + 8 * n * width
+
+        if kind == 1:
+            return at + 8 * width
+        if kind == 2:
+            return corners(at)[1]
+        (n,) = struct.unpack_from(order + "I", data, at)
+        at += 4
+        if kind in (3, 17):
+            rings = []
+            for _ in range(n):
+                ring, at = corners(at)
+                rings.append(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)
+            made.append(rings)
+        else:
+            for _ in range(n):
+                at = walk(at)
+        return at
+
+    walk(0)
+    return made
+
+
+def rings_of(shapes: DataFrame) -> DataFrame:
+    """(shape_id, polygon, ring, i, x, y, z) of shapes(shape_id, wkb)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (shape, p, r, i, *corner)
+                for shape, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                if data
+                for p, rings in enumerate(read_rings(bytes(data)))
+                for r, ring in enumerate(rings)
+                for i, corner in enumerate(ring)
+            ]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shape_id", "polygon", "ring", "i", "x", "y", "z"])
+
+    kind = shapes.schema["shape_id"].dataType.simpleString()
+    return shapes.select("shape_id", "wkb").mapInArrow(run, f"shape_id {kind}, polygon int, ring int, i int, x double, y double, z double")
