@@ -14,7 +14,9 @@ the weights of features of that sample. Scoring reads every row, whole, and shuf
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshtide.llm.arrowtext import binaries, gather, slices, utf8, word_spans
 
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 SEGMENT = 256
 #: Log-likelihood ratio from which a feature marks tokens of toxic documents: seven of seven documents at a tenth toxic.
 MARKS = 15.0
@@ -151,40 +153,50 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = 60) -> Field:
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     prior = np.array([np.log(share / (1 - share)), 0, 0, 0])
     words, code, first, *_ = coded_words(pa.array(texts, pa.string()))
-    if not words or labels.min() == labels.max():
+    if not words or labels.min() == labels.max():  # no words: the same for any text
         return Field({}, np.ones((2, 2)), 1.0, prior)
     names: dict[str, int] = {}
-    features = [[names.setdefault(f, len(names)) for f in word_features(w)] for w in words]
-    at = np.concatenate([[0], np.cumsum([len(x) for x in features])])
-    flat = np.fromiter((x for y in features for x in y), np.int64, at[-1])
-    of_word = np.repeat(np.arange(len(words)), np.diff(at))
+    flat, sizes = array("i"), array("i")
+    for w in words:
+        own = word_features(w)
+        flat.extend(names.setdefault(f, len(names)) for f in own)
+        sizes.append(len(own))
+    flat, sizes = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32)
+    at = np.concatenate([[0], np.cumsum(sizes)])
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
 
-    # documents of either label that have a feature, equal texts once
+    # documents of either label that have a feature, equal texts once, some documents at a time
     seen: dict[str | None, int] = {}
     once = np.array([seen.setdefault(t, i) == i for i, t in enumerate(texts)])
-    pairs = np.unique(doc * len(words) + code)
-    pair_doc, pair_word = pairs // len(words), pairs % len(words)
-    size = np.diff(at)[pair_word]
-    spread = np.repeat(at[:-1][pair_word], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    both = np.unique(np.repeat(pair_doc, size) * len(names) + flat[spread])
-    both_doc, both_feature = both // len(names), both % len(names)
-    keep = once[both_doc]
-    ones = np.bincount(both_feature[keep], labels[both_doc[keep]], len(names))
-    zeros = np.bincount(both_feature[keep], 1 - labels[both_doc[keep]], len(names))
+    del seen
+    held = np.zeros((2, len(names)), np.int32)
+    for i in np.flatnonzero(once).tolist():
+        own = np.unique(code[first[i] : first[i + 1]])
+        size = sizes[own]
+        own = np.unique(flat[np.repeat(at[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
+        held[int(labels[i]), own] += 1
+    zeros, ones = held.astype(float)
     base = (labels[once].sum() + 0.5) / (once.sum() + 1)
+    rate = ones / np.maximum(ones + zeros, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        rate = ones / np.maximum(ones + zeros, 1)
         ratio = np.where(ones > 0, ones * np.log(rate / base), 0) + np.where(zeros > 0, zeros * np.log((1 - rate) / (1 - base)), 0)
     marks = (ratio >= MARKS) & (rate >= 0.95)
+    of_word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     toxic_word = np.bincount(of_word, marks[flat], len(words)) > 0
     y = (toxic_word[code] & (labels[doc] > 0)).astype(float)
 
+    # features of three documents and more are trained
     common = ones + zeros >= 3
-    weight = np.zeros(len(names))
+    keep = common[flat]
+    number = (np.cumsum(common) - 1).astype(np.int32)
+    names = {k: int(number[i]) for k, i in names.items() if common[i]}
+    flat, of_word = number[flat[keep]], of_word[keep]
+    del at, sizes, held, ones, zeros, ratio, marks, number, keep, doc
+    weight = np.zeros(max(1, len(names)))
     moves, start = np.zeros((2, 2)), 0.0
-    weight[names["b"]] = -3.0
-    grown, grown_moves = np.full(len(names), 1e-8), np.full((2, 2), 1e-8)
+    if "b" in names:
+        weight[names["b"]] = -3.0
+    grown, grown_moves = np.full(len(weight), 1e-8), np.full((2, 2), 1e-8)
     chain = Chain(first)
     follows = np.ones(len(code), bool)
     follows[first[:-1][np.diff(first) > 0]] = False
@@ -195,17 +207,18 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = 60) -> Field:
         m = np.exp(moves)
         a, b = chain.odds(scores, m, np.exp(start))
         p = a * b / (1 + a * b)
-        slope = np.bincount(flat, np.bincount(code, p - y, len(words))[of_word], len(names)) * common + 0.05 * weight
+        slope = np.bincount(flat, np.bincount(code, p - y, len(words))[of_word], len(weight)) + 0.05 * weight
         e = np.exp(np.clip(scores[later], -30, 30)) * b[later]
-        joint = np.stack([np.full(len(later), m[0, 0]), m[0, 1] * e, m[1, 0] * a[later - 1], m[1, 1] * a[later - 1] * e])
-        wanted = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        before = a[later - 1]
+        whole = m[0, 0] + m[0, 1] * e + before * (m[1, 0] + m[1, 1] * e)
+        wanted = np.array([[(m[0, 0] / whole).sum(), (m[0, 1] * e / whole).sum()], [(m[1, 0] * before / whole).sum(), (m[1, 1] * before * e / whole).sum()]])
         slope_moves = wanted - true_moves + 0.05 * moves
         slope_moves[0, 0] = 0
         grown += slope**2
         grown_moves += slope_moves**2
         weight -= 0.7 * slope / np.sqrt(grown)
         moves -= 0.3 * slope_moves / np.sqrt(grown_moves)
-    found = {k: float(weight[i]) for k, i in names.items() if common[i] and abs(weight[i]) > 1e-3}
+    found = {k: float(weight[i]) for k, i in names.items() if abs(weight[i]) > 1e-3}
     field = Field(found, np.exp(moves), float(np.exp(start)), prior)
     x = document_features(field.marginals(pa.array(texts, pa.string()))[0], first)
     ridge = np.array([1e-3, 0.5, 0.5, 0.5])
@@ -238,8 +251,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = labels.where((fold(F.col(id_col)) != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     chosen = chosen.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # at most max_rows small rows, so the broadcast is bounded
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(max_rows).toArrow()
-    return fit(rows["_text"].to_pylist(), (rows["_label"].to_numpy() > 0).astype(int))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    sample = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(max_rows).select("_text", "_label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            marks += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(marks) > 0))], pa.binary())], ["field"])
+
+    # one task trains on the bounded sample, where there is more memory than on the driver
+    return pickle.loads(sample.coalesce(1).mapInArrow(run, "field binary").first()["field"])
 
 
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
