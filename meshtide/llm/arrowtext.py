@@ -91,9 +91,9 @@ def powers(n: int, multiplier: np.uint64 = _MULTIPLIER) -> tuple[np.ndarray, np.
     """Powers of an odd multiplier modulo 2**64, and of its inverse, up to the n-th."""
     got = _powers.get(int(multiplier))
     if got is None or len(got[0]) <= n:
-        n = max(n, 1 << 16)
+        size = max(n, 1 << 16) + 1
         inverse = np.uint64(pow(int(multiplier), -1, 1 << 64))
-        up, down = np.full(n + 1, multiplier), np.full(n + 1, inverse)
+        up, down = np.full(size, multiplier), np.full(size, inverse)
         up[0] = down[0] = 1
         got = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         if n <= 1 << 24:

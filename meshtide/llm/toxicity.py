@@ -262,7 +262,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(marks) > 0))], pa.binary())], ["field"])
 
     # one task trains on the bounded sample, where there is more memory than on the driver
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "field binary").first()["field"])
+    made = sample.coalesce(1).mapInArrow(run, "field binary").first()
+    return pickle.loads(made["field"]) if made else fit([], np.zeros(0))
 
 
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
