@@ -179,11 +179,12 @@ def repeated_windows(docs: DataFrame, window: int, bits: int, copies, sketch) ->
             keep = np.flatnonzero(~same | known)
             ids, at, h1, h2, known = ids[keep], at[keep], h1[keep], h2[keep], known[keep]
             h1 = np.where(known, mix(h1 + np.arange(len(h1), dtype=np.uint64)), h1)
+            at = np.where(known, -at - 1, at)
             for i in range(0, len(keep), 1 << 20):
                 own = slice(i, i + (1 << 20))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own]), pa.array(at[own].astype(np.int32)), pa.array(h1[own].view(np.int64)), pa.array(h2[own].astype(np.uint32).view(np.int32)), pa.array(known[own])],
-                    ["doc_id", "at", "h1", "h2", "known"],
+                    [pa.array(ids[own]), pa.array(at[own].astype(np.int32)), pa.array(h1[own].view(np.int64)), pa.array(h2[own].astype(np.uint32).view(np.int32))],
+                    ["doc_id", "at", "h1", "h2"],
                 )
 
         for batch in slices(_without(batches, copies)):
@@ -204,9 +205,11 @@ def repeated_windows(docs: DataFrame, window: int, bits: int, copies, sketch) ->
         if held:
             yield from flush()
 
-    asked = docs.mapInArrow(ask, "doc_id long, at int, h1 long, h2 int, known boolean")
-    order = Window.partitionBy("h1", "h2", "known").orderBy("doc_id", "at")
-    return asked.withColumn("r", F.rank().over(order)).where("known or r > 1").select("doc_id", "at")
+    asked = docs.mapInArrow(ask, "doc_id long, at int, h1 long, h2 int")
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "at")
+    # a start below zero is one that is known to be late
+    late = asked.withColumn("r", F.rank().over(order)).where("at < 0 or r > 1")
+    return late.select("doc_id", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")).alias("at"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 28) -> DataFrame:
@@ -232,7 +235,15 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
         known = spark.sparkContext.broadcast(np.sort(copied.toArrow()["doc_id"].to_numpy()))
     sketch = spark.sparkContext.broadcast([x.tobytes() for x in merged_sketch(base, window, bits, known)])
     marks = repeated_windows(base, window, bits, known, sketch).groupBy("doc_id").agg(F.collect_list("at").alias("late"))
-    joined = base.join(marks, "doc_id", "left").select("doc_id", "text", "late")
+    # only documents with marks are shuffled to meet them; the others are known by their ids up to a checked number
+    marks = saved(marks, "substring-marks")
+    nothing = F.array().cast("array<int>").alias("late")
+    if marks.count() <= MAX_COPIES:
+        marked = F.broadcast(marks.select("doc_id"))
+        met = base.join(marked, "doc_id", "left_semi").join(marks, "doc_id").select("doc_id", "text", "late")
+        joined = base.join(marked, "doc_id", "left_anti").select("doc_id", "text", nothing).unionAll(met)
+    else:
+        joined = base.join(marks, "doc_id", "left").select("doc_id", "text", "late")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = np.zeros(0, np.int64) if known is None else known.value
