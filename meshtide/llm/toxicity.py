@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshtide.llm.arrowtext import binaries, gather, slices, utf8, word_spans
 
-MAX_ROWS = 4_000
+MAX_ROWS = 2_500
 SEGMENT = 256
 #: Log-likelihood ratio from which a feature marks tokens of toxic documents: seven of seven documents at a tenth toxic.
 MARKS = 15.0
@@ -117,7 +117,7 @@ class Field:
         return {"weights": self.weights, "moves": self.moves, "start": self.start, "regression": self.regression, "known": {}}
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 500_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         get = self.weights.get
         for w in words:
