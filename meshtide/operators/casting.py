@@ -29,20 +29,25 @@ LEAF = 4
 
 
 def line_hits(lines: DataFrame, tri: DataFrame) -> DataFrame:
-    """Each line with t, the signed distance to a triangle it meets, its own face left out; t is null for a line that meets none."""
+    """Each line with each other face of its mesh and t, the signed distance to it, null where it is missed.
+
+    Steps of the test are columns of their own, so that each is computed once, and there is no filter that
+    would be pushed into the join as one long expression: misses are nulls, which the aggregates
+    after it pass over. Lines are dealt evenly first; the groupings by line need no other shuffle.
+    """
     other = tri.select("mesh_id", F.col("face_id").alias("hit_face"), *(f"{k}{x}" for k in CORNERS for x in AXES))
-    a, b, c = (vector(k) for k in CORNERS)
-    e1, e2, o, d = sub(b, a), sub(c, a), vector("o"), vector("d")
-    p = cross(d, e2)
-    inverse = F.lit(1.0) / F.nullif(dot(e1, p), F.lit(0.0))
-    s = sub(o, a)
-    u = dot(s, p) * inverse
-    q = cross(s, e1)
-    v = dot(d, q) * inverse
-    t = dot(e2, q) * inverse
     own = lines.withColumnRenamed("mesh_id", "line_mesh")
-    met = (F.col("line_mesh") == F.col("mesh_id")) & (F.col("face_id") != F.col("hit_face")) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t != 0)
-    return own.join(other, met, "left").select(F.col("line_mesh").alias("mesh_id"), "component", "ray_no", t.alias("t"))
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(parts, "line_mesh", "component", "ray_no")
+    met = own.join(other, (F.col("line_mesh") == F.col("mesh_id")) & (F.col("face_id") != F.col("hit_face")), "left")
+    named = lambda name, v: {f"{name}{x}": c for x, c in zip(AXES, v, strict=True)}
+    a, b, c = (vector(k) for k in CORNERS)
+    met = met.withColumns(named("e1", sub(b, a)) | named("e2", sub(c, a)) | named("s", sub(vector("o"), a)))
+    met = met.withColumns(named("p", cross(vector("d"), vector("e2"))) | named("q", cross(vector("s"), vector("e1"))))
+    met = met.withColumn("inverse", F.lit(1.0) / F.nullif(dot(vector("e1"), vector("p")), F.lit(0.0)))
+    met = met.withColumns({"u": dot(vector("s"), vector("p")) * F.col("inverse"), "v": dot(vector("d"), vector("q")) * F.col("inverse"), "t": dot(vector("e2"), vector("q")) * F.col("inverse")})
+    hit = (F.col("u") >= 0) & (F.col("v") >= 0) & (F.col("u") + F.col("v") <= 1) & (F.col("t") != 0)
+    return met.select(F.col("line_mesh").alias("mesh_id"), "component", "ray_no", F.when(hit, F.col("t")).alias("t"))
 
 
 def nearest_hits(lines: DataFrame, tri: DataFrame) -> DataFrame:
