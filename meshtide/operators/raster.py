@@ -58,8 +58,10 @@ def fragments(screen: DataFrame, resolution: int) -> DataFrame:
     x0, x1 = bounds("x")
     y0, y1 = bounds("y")
     boxed = screen.withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}).where("x0 < x1 and y0 < y1")
-    # pixels are made a row at a time, so that a large triangle needs no long array
+    # pixels are made a row at a time, so that a large triangle needs no long array; rows of a triangle, not
+    # fragments, are shuffled, to where all fragments of an image row meet
     rows = boxed.withColumn("py", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
+    rows = rows.repartition(int(screen.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mesh_id", "view", "py")
     each = rows.withColumn("px", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
     wa = ((F.col("b_px") - px) * (F.col("c_py") - py) - (F.col("b_py") - py) * (F.col("c_px") - px)) / F.col("area")
     wb = ((F.col("c_px") - px) * (F.col("a_py") - py) - (F.col("c_py") - py) * (F.col("a_px") - px)) / F.col("area")
