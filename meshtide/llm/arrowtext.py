@@ -7,6 +7,7 @@ multi-byte characters are never cut.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +26,29 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches by rows so that each slice holds about ``max_bytes`` of text, one row at least."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        ends = offsets_of(column)[1:] - offsets_of(column)[0]
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(batch.schema.get_field_index(text))
+            ends = offsets_of(column)[1:] - offsets_of(column)[0]
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on, and the next operator's need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

@@ -26,7 +26,7 @@ from meshtide.llm.arrowtext import SPACE, binaries, slices, utf8
 END_ID = 1
 MAX_LENGTH = 2048
 #: Distinct units whose ids a worker remembers, about 150 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: UTF-8 of the white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000) and of U+001C to U+001F.
 WIDE_SPACE = [chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x1C, 0x20))]
 
@@ -161,7 +161,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             ids, at = made.encode(batch.column(1))
             row, start, length = binary_pieces(np.diff(at), max_length)
             begin = at[row] + start

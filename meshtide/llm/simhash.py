@@ -76,7 +76,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1)).view(np.int64))], ["doc_id", "fp"])
 
     return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fp long")
