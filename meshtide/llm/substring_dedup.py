@@ -33,7 +33,7 @@ ROWS = 2
 #: Cells of a row of the sketch in one piece that is merged; eight kilobytes of result.
 SEGMENT_BITS = 16
 #: Windows that a partition gathers before it sends its sketch or its candidates on.
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 #: Whole copies are known to all tasks up to so many; beyond, they are searched like other documents.
 MAX_COPIES = 4_000_000
 
