@@ -544,3 +544,10 @@ def x1(spark, sf_dir):
     v, f = boxes(spark, sf_dir)
     closed = "substr(mesh_id, 2) % 3 <> 0"
     return plans.reorient_facets_raycast(v.where(closed), f.where(closed), check=False, rays_total=600, strategy="arrow").drop("component")
+
+
+@query("x2_arrow_flips_all", None)
+def x2(spark, sf_dir):
+    """The Arrow way on all boxes, those without floor too; no SQL draws the same rays, a test casts some by brute force."""
+    v, f = boxes(spark, sf_dir)
+    return plans.reorient_facets_raycast(v, f, check=False, rays_total=600, strategy="arrow").drop("component")
