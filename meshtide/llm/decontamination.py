@@ -8,8 +8,10 @@ m bins, m the power of two from 2n up. A bin then holds half a shingle on averag
 each shingle of the item that the document contains is its bin's minimum with a probability
 of at least 0.78. Items have a signature for each size of m; a document meets an item when
 enough minima are equal, and pairs that meet are verified by the share of the item's
-shingles that the document contains, shingle by shingle as text. At the lengths and the share
-asked for, a pair is missed with a probability of about 0.0002 at worst.
+shingles that the document contains, shingle by shingle as text. Of an item of few shingles
+too few minima may survive, so items of fewer than ten are looked up by all their shingles
+and none is missed. Longer ones are missed at a share of 0.8 with a probability of
+about 0.0002 at worst, at ten shingles.
 
 All of it is DataFrame functions. Signatures of documents are made where they are read; only
 equal minima are shuffled. Items' signatures and candidate documents are broadcast below a
@@ -29,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEAST_BITS, MOST_BITS = 7, 24
 #: Of an item's minima, the share that a candidate must have.
 MEET = 0.2
+#: Items of fewer distinct shingles are looked up by all of them, not by minima.
+SHORT = 10
 BROADCAST_ROWS = 2_000_000
 
 
@@ -66,16 +70,25 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     t = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
 
     known = saved(t.select("item_id", shingle_hashes("text", shingle).alias("h"), shingle_texts("text", shingle).alias("item_shingles")).where("size(h) > 0"), "items")
-    by_size = known.select("item_id", "h", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS))).alias("bits"))
-    signed = saved(by_size.select("item_id", "bits", minima("h", "bits").alias("m")).select("item_id", "bits", F.size("m").alias("n_minima"), F.explode("m").alias("least")), "item-minima")
+    short = known.where(F.size("item_shingles") < SHORT).select("item_id", F.size("item_shingles").alias("n"), F.array_distinct("h").alias("h"))
+    # should two shingles share a hash, the item needs one equal hash less
+    needed = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-9).cast("int") - F.col("n") + F.size("h"))
+    by_size = known.where(F.size("item_shingles") >= SHORT).select("item_id", "h", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS))).alias("bits"))
+    by_minima = by_size.select("item_id", "bits", minima("h", "bits").alias("m")).select("item_id", "bits", F.greatest(F.lit(1), F.floor(MEET * F.size("m")).cast("int")).alias("needed"), F.explode("m").alias("least"))
+    # bits of zero stand for all shingles
+    signed = saved(by_minima.unionAll(short.select("item_id", F.lit(0).alias("bits"), needed.alias("needed"), F.explode("h").alias("least"))), "item-minima")
     few_items = signed.count() <= BROADCAST_ROWS
 
     hashed = d.select("doc_id", shingle_hashes("text", shingle).alias("h"))
     sized = hashed.select("doc_id", "h", F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.ceil(F.log2(2.0 * F.greatest(F.size("h"), F.lit(1)))).cast("int"))).alias("bits"))
-    signatures = sized.select("doc_id", "bits", F.explode(minima("h", "bits")).alias("least"))
+    if signed.where("bits = 0").limit(1).count():
+        both = F.concat(F.transform(minima("h", "bits"), lambda x: F.struct(F.col("bits"), x.alias("least"))), F.transform("h", lambda x: F.struct(F.lit(0).alias("bits"), x.alias("least"))))
+        signatures = sized.select("doc_id", F.explode(both).alias("s")).select("doc_id", "s.bits", "s.least")
+    else:
+        signatures = sized.select("doc_id", "bits", F.explode(minima("h", "bits")).alias("least"))
     met = signatures.join(F.broadcast(signed) if few_items else signed, ["bits", "least"])
-    # a repeated row counts its minima again, which only lets a pair through to be verified
-    candidates = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_minima").alias("n_minima")).where(F.col("n") >= F.greatest(F.lit(1.0), F.floor(MEET * F.col("n_minima"))))
+    # a repeated row or shingle counts again, which only lets a pair through to be verified
+    candidates = met.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).where("n >= needed")
     candidates = saved(candidates.select("doc_id", "item_id"), "contamination-candidates")
 
     per_doc = candidates.groupBy("doc_id").agg(F.collect_list("item_id").alias("item_ids"))

@@ -379,6 +379,19 @@ def test_containment_search_finds_nearly_all(spark):
     assert len({(r.doc_id, r.item_id) for r in got.collect()} & {(i, i) for i in range(300)}) >= 297
 
 
+def test_containment_search_misses_no_short_item(spark, monkeypatch):
+    """Items of one to nine shingles, the share asked for of which is left, inside documents half as long as their signatures."""
+    items = [(i, " ".join(f"s{i}x{k}" for k in range(5 + i % 9))) for i in range(450)]
+    left = {i: " ".join(t.split()[: 4 + -(-4 * (1 + i % 9) // 5)]) for i, t in items}
+    docs = [(k, " ".join(f"{prose(30)} {left[i]}" for i in range(10 * k, 10 * k + 10)) + " " + prose(150)) for k in range(45)]
+    want = brute.contaminated(docs, items)
+    assert len(want) == 450
+    for rows in (decontamination.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", rows)
+        got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got} == want and len(got) == len(want)
+
+
 # 10 --------------------------------------------------------------------------------------------------------
 
 
