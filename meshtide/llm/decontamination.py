@@ -27,8 +27,8 @@ from meshtide.llm.shared import saved
 
 SHINGLE = 5
 WORD = r"[^\x20\x09-\x0D]+"
-#: Signatures have 2**LEAST_BITS bins at least and 2**MOST_BITS at most.
-LEAST_BITS, MOST_BITS = 7, 24
+#: Signatures have 2**LEAST_BITS bins at least; at most as many as the longest document present asks for.
+LEAST_BITS = 7
 #: Of an item's minima, the share that a candidate must have.
 MEET = 0.2
 #: Items of fewer distinct shingles are looked up by all of them, not by minima.
@@ -69,18 +69,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     t = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
 
+    # a shingle begins with a word, a byte at least, and a space: no document has more than (bytes + 1) / 2
+    longest = d.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    most_bits = max(LEAST_BITS, longest.bit_length())
+
     known = saved(t.select("item_id", shingle_hashes("text", shingle).alias("h"), shingle_texts("text", shingle).alias("item_shingles")).where("size(h) > 0"), "items")
     short = known.where(F.size("item_shingles") < SHORT).select("item_id", F.size("item_shingles").alias("n"), F.array_distinct("h").alias("h"))
     # should two shingles share a hash, the item needs one equal hash less
     needed = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") - 1e-9).cast("int") - F.col("n") + F.size("h"))
-    by_size = known.where(F.size("item_shingles") >= SHORT).select("item_id", "h", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS))).alias("bits"))
+    by_size = known.where(F.size("item_shingles") >= SHORT).select("item_id", "h", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(most_bits))).alias("bits"))
     by_minima = by_size.select("item_id", "bits", minima("h", "bits").alias("m")).select("item_id", "bits", F.greatest(F.lit(1), F.floor(MEET * F.size("m")).cast("int")).alias("needed"), F.explode("m").alias("least"))
     # bits of zero stand for all shingles
     signed = saved(by_minima.unionAll(short.select("item_id", F.lit(0).alias("bits"), needed.alias("needed"), F.explode("h").alias("least"))), "item-minima")
     few_items = signed.count() <= BROADCAST_ROWS
 
     hashed = d.select("doc_id", shingle_hashes("text", shingle).alias("h"))
-    sized = hashed.select("doc_id", "h", F.greatest(F.lit(LEAST_BITS), F.least(F.lit(MOST_BITS), F.ceil(F.log2(2.0 * F.greatest(F.size("h"), F.lit(1)))).cast("int"))).alias("bits"))
+    sized = hashed.select("doc_id", "h", F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(2.0 * F.greatest(F.size("h"), F.lit(1)))).cast("int")).alias("bits"))
     if signed.where("bits = 0").limit(1).count():
         both = F.concat(F.transform(minima("h", "bits"), lambda x: F.struct(F.col("bits"), x.alias("least"))), F.transform("h", lambda x: F.struct(F.lit(0).alias("bits"), x.alias("least"))))
         signatures = sized.select("doc_id", F.explode(both).alias("s")).select("doc_id", "s.bits", "s.least")

@@ -392,6 +392,15 @@ def test_containment_search_misses_no_short_item(spark, monkeypatch):
         assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got} == want and len(got) == len(want)
 
 
+def test_containment_search_in_documents_of_any_length(spark, monkeypatch):
+    """Bins follow the longest document; a bound on them, here set low, lost items in documents beyond it."""
+    monkeypatch.setattr(decontamination, "MOST_BITS", 8, raising=False)
+    items = [(i, " ".join(f"l{i}x{k}" for k in range(15))) for i in range(100)]
+    docs = [(i, prose(3000) + " " + " ".join(t.split()[:13]) + " " + prose(3000 + 40 * i)) for i, t in items]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got} == {(i, i, 11, 9) for i in range(100)}
+
+
 # 10 --------------------------------------------------------------------------------------------------------
 
 
