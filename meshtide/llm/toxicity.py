@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from meshtide.llm.arrowtext import binaries, gather, slices, utf8, word_spans
 
-MAX_ROWS = 2_500
+MAX_ROWS = 4_000
 SEGMENT = 256
 #: Log-likelihood ratio from which a feature marks tokens of toxic documents: seven of seven documents at a tenth toxic.
 MARKS = 15.0

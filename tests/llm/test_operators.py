@@ -177,6 +177,19 @@ def test_toxicity_on_held_out_documents(spark, none):
     assert toxicity.drop_toxic(table, field).columns == table.columns
 
 
+def test_toxicity_learns_from_labels_late_in_the_sample(spark):
+    """A word of toxic documents that are all past the first 2,500 labelled rows."""
+    ids = spark.range(5_000).where((toxicity.fold(F.col("id")) != 0)).orderBy(F.xxhash64("id"), "id").limit(3_500)
+    order = [r.id for r in ids.collect()]
+    toxic = set(order[2_600:2_680])
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(6)) + (" zorgle" if i in toxic else " plain")) for i in order]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in order], "doc_id long, toxic int")
+    field = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    new = spark.createDataFrame([(-1, "w1 w2 zorgle w3"), (-2, "w1 w2 plain w3")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score_documents(new, field).collect()} == {-1: 1, -2: 0}
+
+
 # 5 ---------------------------------------------------------------------------------------------------------
 
 SECRETS = [
