@@ -107,6 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
-    gone = contaminated(docs, items, threshold, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that contain no item, with all their columns; a row goes by its own text, whatever its id, null among them."""
+    own = F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
+    gone = contaminated(docs.select(own.alias("_own_sha"), text_col), items, threshold, "_own_sha", text_col).select(F.col("doc_id").alias("_gone_sha")).distinct()
+    return docs.select("*", own.alias("_own_sha")).join(gone, F.col("_own_sha") == F.col("_gone_sha"), "left_anti").select(*docs.columns)

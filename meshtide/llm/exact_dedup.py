@@ -68,6 +68,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with all their columns.
+
+    The decision is of a row's id and text, so an id that other texts use too or a null id
+    goes by its own text; rows that repeat the kept id and text all stay.
+    """
+    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
+    own = docs.select("*", F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_own_sha"))
+    return own.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_own_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)

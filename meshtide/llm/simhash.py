@@ -181,6 +181,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that stay, one document of each component, with all their columns.
+
+    The decision is of a row's id and text: an id may stay with one text and go with another,
+    and a null id goes where its component has an id.
+    """
+    own = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    # the smallest of a component's keys has its smallest id, and a null only where it has no other
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), own.alias("sha")).alias("_own_key"), text_col)
+    far = near_duplicates(keyed, "_own_key", text_col, max_bits).where(~F.col("doc_id.id").eqNullSafe(F.col("component_id.id")))
+    gone = far.select(F.col("doc_id.id").alias("_gone_id"), F.col("doc_id.sha").alias("_gone_sha")).distinct()
+    return docs.select("*", own.alias("_own_sha")).join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_own_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)

@@ -414,6 +414,17 @@ def test_containment_search_in_documents_of_any_length(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got} == {(i, i, 11, 9) for i in range(100)}
 
 
+def test_dropping_goes_by_id_and_text(spark):
+    """Ids that several texts use, and null ids."""
+    a, b, c = prose(60), prose(60), prose(60)
+    table = spark.createDataFrame([(3, a), (5, a), (5, b), (None, a), (None, c)], "doc_id long, text string")
+    want = [(3, a), (5, b), (None, c)]
+    for drop in (exact_dedup.drop_duplicates, simhash.drop_near_duplicates):
+        assert order(drop(table).collect()) == order(want)
+    item = spark.createDataFrame([(0, " ".join(a.split()[10:40]))], "item_id long, text string")
+    assert order(decontamination.drop_contaminated(table, item).collect()) == order([(5, b), (None, c)])
+
+
 # 10 --------------------------------------------------------------------------------------------------------
 
 
