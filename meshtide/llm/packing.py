@@ -2,13 +2,15 @@
 
 A document of n token ids is cut at the binary digits of n: as many pieces of ``max_length`` as
 fit, then one piece for each further digit, from large to small. Every piece is a sequence of
-its own, of a length that is a power of two, so a batch is drawn from the bucket of one
-length and holds no padding. Nothing is shuffled: each document is cut where it is read.
-
-Tokenising works on units, a run of white space and the run of other characters after it. The
-tokenizer's own pre-tokens never reach over the end of a unit, so a document's ids are its
-units' ids in order, and each distinct unit of a slice is encoded once. Documents for which
-that does not hold (white space beyond ASCII, or the text of a special token) are encoded whole.
+its own, of a length that is a power of two, and goes to the bucket of that length: ``bucket``
+names it, and write_buckets() lays the pieces out by it, so a batch is read from one bucket and
+holds no padding. Nothing is shuffled: each document is cut where it is read, and a bucket
+is written by all tasks at once, however many pieces share a length.
+
+The vocabulary file is one of the tokenizers library. A plain byte-level one whose numbers are
+its merges' ranks (the check is made when it is loaded) is handed to a faster encoder that
+gives the same ids; any other file, and texts that hold the string of a special token, are
+encoded by the library itself.
 """
 
 from __future__ import annotations
@@ -18,116 +20,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshtide.llm.arrowtext import SPACE, binaries, slices, utf8
+from meshtide.llm.arrowtext import slices, utf8
 
 END_ID = 1
 MAX_LENGTH = 2048
-#: Distinct units whose ids a worker remembers, about 150 bytes each.
-REMEMBERED = 1_000_000
-#: UTF-8 of the white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000) and of U+001C to U+001F.
-WIDE_SPACE = [chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x1C, 0x20))]
+# fixed value: how byte-level vocabularies of this kind split a text before merging
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a tokenizer file says of itself where PIECES and ranks describe it whole.
+PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+_encoders: dict[str, Encoder] = {}
+
 
-_encoders: dict[str, UnitEncoder] = {}
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it can be printed, else the next one from 256 up."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = sorted(set(range(256)) - set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class UnitEncoder:
-    """Token ids of whole texts by way of their distinct units."""
+class Encoder:
+    """Token ids of whole texts."""
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # the UTF-8 bytes behind a token are as many as its characters in the byte-level alphabet
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.token_bytes[list(vocab.values())] = [len(x) for x in vocab]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.at, self.n_flat = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, units: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
-        """Remember units, the number of ids of each, and all ids end to end."""
-        n = len(self.known)
-        for name, need in (("flat", self.n_flat + len(ids)), ("at", n + len(units) + 1)):
-            old = getattr(self, name)
-            if need > len(old):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), old.dtype)]))
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.at[n + 1 : n + 1 + len(units)] = self.n_flat + np.cumsum(lengths)
-        self.n_flat += len(ids)
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
-
-    def _units(self, units: list[bytes]) -> np.ndarray:
-        """Where each of some distinct units is remembered."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self._forget()
-            new = units
-        # units that begin with white space and end with another character keep their bounds when laid end
-        # to end, so many are encoded as one text and cut where the ids' bytes reach a unit's end
-        joined = [u for u in new if SPACE[u[0]] and not SPACE[u[-1]]]
-        for i in range(0, len(joined), 200_000):
-            own = [joined[k : k + 2_000] for k in range(i, min(i + 200_000, len(joined)), 2_000)]
-            for part, e in zip(own, self.tokenizer.encode_batch_fast([b"".join(x).decode() for x in own], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.uint32)
-                ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(u) for u in part])) + 1
-                self._learn(part, np.diff(ends, prepend=0), ids)
-        single = [u for u in new if not (SPACE[u[0]] and not SPACE[u[-1]])]
-        for i in range(0, len(single), 20_000):
-            own = single[i : i + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in own], add_special_tokens=False)]
-            self._learn(own, np.array([len(x) for x in ids]), np.array([x for y in ids for x in y], np.uint32))
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        self.fast = self._ranked(json.loads(self.tokenizer.to_str()))
+
+    def _ranked(self, described: dict):
+        model, split = described["model"], described["pre_tokenizer"] or {}
+        if described["normalizer"] or model.get("type") != "BPE" or any(split.get(k) != v for k, v in PLAIN.items()):
+            return None
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        numbers, letters = model["vocab"], byte_letters()
+        merged = [numbers["".join(x) if isinstance(x, list) else x.replace(" ", "")] for x in model["merges"]]
+        if merged != list(range(256, 256 + len(merged))) or len(numbers) != 256 + len(merged) or not all(c in letters for w in numbers for c in w):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks={bytes(map(letters.__getitem__, w)): i for w, i in numbers.items()}, special_tokens={})
+
+    def ids(self, text: bytes) -> np.ndarray:
+        string = text.decode(errors="replace")
+        if self.fast is None or any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(string, disallowed_special=())
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows end to end, each row ended by END_ID, and the offsets of the rows."""
         data, at = utf8(column)
-        raw = data.tobytes()
-        odd = np.zeros(len(column), bool)
-        for mark in [x for x in (*WIDE_SPACE, *self.special) if x in raw]:
-            odd |= np.array([mark in raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        inside = ~SPACE[data]
-        begins = np.zeros(len(data), bool)
-        begins[1:] = ~inside[1:] & inside[:-1]
-        begins[at[:-1][at[:-1] < len(data)]] = True
-        starts = np.flatnonzero(begins)
-        bounds = np.append(starts, len(data))
-        first = np.searchsorted(starts, at)
-        coded = binaries(data, bounds).dictionary_encode()
-        where = self._units(coded.dictionary.to_pylist())
-        flat, flat_at, lengths = self.flat, self.at[where], self.at[where + 1] - self.at[where]
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        before = np.concatenate([[0], np.cumsum(lengths[code])]).astype(np.int64)
-        n = np.diff(before[first])
-        odd_ids = {i: self.whole(raw[at[i] : at[i + 1]]) for i in np.flatnonzero(odd).tolist()}
-        for i, own in odd_ids.items():
-            n[i] = len(own)
-        out_at = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int64)
-        out = np.full(out_at[-1], END_ID, np.uint32)
-        unit_row = np.repeat(np.arange(len(n)), np.diff(first))
-        plain = ~odd[unit_row]
-        code, unit_row = code[plain], unit_row[plain]
-        target = before[:-1][plain] - before[first[unit_row]] + out_at[unit_row]
-        size = lengths[code]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(target, size) + step] = flat[np.repeat(flat_at[code], size) + step]
-        for i, own in odd_ids.items():
-            out[out_at[i] : out_at[i] + len(own)] = own
-        return out, out_at
-
-
-def encoder(path: str) -> UnitEncoder:
+        raw = memoryview(data)
+        own = [self.ids(bytes(raw[a:b])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])]).astype(np.int64)
+        out = np.full(bounds[-1], END_ID, np.uint32)
+        for x, a in zip(own, bounds[:-1].tolist(), strict=True):
+            out[a : a + len(x)] = x
+        return out, bounds
+
+
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
+        _encoders.clear()  # a worker keeps one vocabulary
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -148,30 +110,43 @@ def binary_pieces(n: np.ndarray, max_length: int = MAX_LENGTH) -> tuple[np.ndarr
     return row, before[:-1] - begin[row], length
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, ids): a row per piece.
+def pack(docs: DataFrame, tokenizer_path: str, max_length: int = MAX_LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, ids): a row per piece; ids only if asked for.
 
     A document's ids are its text's, without special tokens added, then END_ID; a null or
     empty text is END_ID alone. max_length is a power of two. bucket is the binary logarithm of
     length; sequences of one bucket need no padding. sequence_id tells the sequences of one
-    result apart; offset is always 0. Repeated rows are packed each on their own, null ids pass
-    through, an empty table gives an empty result, columns besides the two named are not read.
+    result apart; offset is always 0. A text of any length is cut to its end; it is held by one
+    task. There are no ties: pieces of one document are told apart by start. Repeated rows are
+    packed each on their own, null ids pass through, an empty table gives an empty result,
+    columns besides the two named are not read, so theirs may clash with those added.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer_path)
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             ids, at = made.encode(batch.column(1))
             row, start, length = binary_pieces(np.diff(at), max_length)
             begin = at[row] + start
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1]).astype(np.int32)), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.diff(at)[row]), pa.array(np.log2(length).astype(np.int32)), lists],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bucket", "ids"],
-            )
-
-    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, bucket int, ids array<int>"
-    return base.mapInArrow(run, schema).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "bucket", "ids")
+            columns = [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.diff(at)[row]), pa.array(np.log2(length).astype(np.int32))]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1]).astype(np.int32)), pa.array(ids.view(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
+    made = base.mapInArrow(run, schema)
+    return made.select(*names[:5], F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *names[5:])
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Lay pieces out by bucket under path, one folder a length. Each task writes its own part of every bucket; nothing is shuffled."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length, all of them without padding; only their folder is read."""
+    return spark.read.parquet(path).where(F.col("bucket") == length.bit_length() - 1)

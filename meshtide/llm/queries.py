@@ -30,7 +30,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), max_length=2048).drop("bucket", "ids")
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), max_length=2048, with_ids=False)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
