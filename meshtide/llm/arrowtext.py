@@ -12,25 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text worked on at a time; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTE_VALUES = np.random.Generator(np.random.Philox(20240613)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Odd constants that join two hashes; one set a lane.
+JOIN = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches by rows so that each slice holds about ``max_bytes`` of text, one row at least."""
     try:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            column = batch.column(batch.schema.get_field_index(text))
+            column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
             ends = offsets_of(column)[1:] - offsets_of(column)[0]
             at = 0
             while at < batch.num_rows:
@@ -100,31 +100,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, multiplier: np.uint64 = _MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2**64, and of its inverse, up to the n-th."""
-    got = _powers.get(int(multiplier))
-    if got is None or len(got[0]) <= n:
-        size = max(n, 1 << 16) + 1
-        inverse = np.uint64(pow(int(multiplier), -1, 1 << 64))
-        up, down = np.full(size, multiplier), np.full(size, inverse)
-        up[0] = down[0] = 1
-        got = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        if n <= 1 << 24:
-            _powers[int(multiplier)] = got
-    return got[0][: n + 1], got[1][: n + 1]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier: np.uint64 = _MULTIPLIER) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, wherever the span lies."""
-    up, down = powers(len(values), multiplier)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return spans_hash(_BYTE_VALUES[data], starts, ends)
+def coded_words(column: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, each token's word, each row's first token, the bytes and the tokens' spans in them; lower: A to Z in lower case."""
+    data, at = utf8(column)
+    if lower:
+        data = ascii_lower(data)
+    starts, ends, first = word_spans(data, at)
+    coded = binaries(*gather(data, starts, ends)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), first, data, starts, ends
+
+
+def digests(words: pa.Array) -> np.ndarray:
+    """128 bits of hash (XXH3) of each word's bytes, as two columns of 64."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), "<u8").reshape(-1, 2)
+
+
+def joined(x: np.ndarray, y: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of two hashes, in order."""
+    p, q = JOIN[lane]
+    return mix(x * p + (y << np.uint64(32) | y >> np.uint64(32)) * q)
+
+
+def window_hashes(words: np.ndarray, window: int, lane: int) -> np.ndarray:
+    """A hash of each ``window`` consecutive hashes, built like a tree: halves are joined, their halves before them."""
+    level, size, out, done, rest = words, 1, None, 0, window
+    while rest:
+        if rest & 1:
+            own = level[done:]
+            out = own if out is None else joined(out[: len(own)], own[: len(out)], lane)
+            done += size
+        rest >>= 1
+        if rest:
+            level = joined(level[: max(0, len(level) - size)], level[size:], lane)
+            size *= 2
+    return out[: max(0, len(words) - window + 1)]
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

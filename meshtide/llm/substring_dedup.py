@@ -4,66 +4,135 @@ First every partition counts its windows in a count-min sketch of its own. The s
 shuffled in sparse form (sorted cell gaps, about a byte a window and row), merged by cell
 range, and reduced to one bit a cell: counted twice or more. As counts only ever err upwards,
 a window all of whose cells are below two is unique, so no repeated window is lost.
-A second pass over the texts sends only windows estimated as repeated, keyed by 96 bits of
-hash, to an exact grouping that marks all but the earliest occurrence.
+A second pass over the texts sends only windows estimated as repeated to an exact grouping
+that marks all but the earliest. Windows are grouped by 128 bits, two hashes of 64 built as
+trees over the words' XXH3 digests, each with constants of its own; two different windows of
+a corpus of 10^13 share them with a probability below 10^-12.
 
-Three things keep what moves small. Documents whose whole word sequence an earlier document
-has are found first by one small row per document and removed whole. Within a slice of a
+Four things keep what moves small. Documents whose whole word sequence a smaller doc_id has
+too are found first by one small row per document and removed whole. Within a slice of a
 partition the earliest occurrence of a window is found at once, and only that one is sent on:
-a window that a third of all documents hold is a row per slice, not per document. And
-the merged sketch has a bounded size: two rows of at most ``max_cells`` bits.
+a window that a third of all documents hold is a row per slice, not per document. The others
+are known to be late and sent as runs of neighbouring windows. And the merged sketch has a
+bounded size, two rows of at most ``max_cells`` bits, which workers map from the shared folder.
 Beyond that size the sketch only lets more windows through to the exact grouping.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshtide.llm.arrowtext import mix, slices, spaced_words, spans_hash, utf8, word_hashes, word_spans
-from meshtide.llm.shared import saved
+from meshtide.llm.arrowtext import coded_words, digests, mix, slices, spaced_words, utf8, window_hashes, word_spans
+from meshtide.llm.shared import saved, shared_folder
+from meshtide.llm.store import Store
 
-WINDOW_A, WINDOW_B, WHOLE = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5), np.uint64(0x2545F4914F6CDD1D)
 ROWS = 2
-#: Cells of a row of the sketch in one piece that is merged; eight kilobytes of result.
-SEGMENT_BITS = 16
-#: Windows that a partition gathers before it sends its sketch or its candidates on.
-FLUSH = 3_000_000
-#: Whole copies are known to all tasks up to so many; beyond, they are searched like other documents.
+#: Windows of which a partition gathers the cells, and candidates it gathers, before it sends them on.
+FLUSH, FLUSH_ASKED = 3_000_000, 700_000
+#: Whole copies and ids of several texts are known to all tasks up to so many; beyond, copies are searched like other documents.
 MAX_COPIES = 4_000_000
+#: Documents with marks are known by their ids to all tasks up to so many.
+MAX_MARKED = 1_000_000
+NO_ID = -(2**63)
+BASE = "doc_id long, sig long, text string"
 
 
-def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word and the index of each row's first."""
-    data, at = utf8(column)
-    starts, ends, first = word_spans(data, at)
-    return word_hashes(data, starts, ends), first
+def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every word and the index of each row's first."""
+    words, code, first, *_ = coded_words(column)
+    both = digests(words)
+    return both[:, 0][code], both[:, 1][code], first
+
+
+def _windows(column: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows that lie within one row, their two hashes, and the index of each row's first word."""
+    one, two, first = _hashed(column)
+    starts = np.arange(max(0, len(one) - window + 1))
+    row_end = np.repeat(first[1:], np.diff(first))[: len(starts)]
+    starts = starts[starts + window <= row_end]
+    return starts, window_hashes(one, window, 0)[starts], window_hashes(two, window, 1)[starts], first
 
 
-def _windows(words: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """Starts of the windows that lie within one row."""
-    starts = np.arange(max(0, len(words) - window + 1))
-    row_end = first[np.searchsorted(first, starts, "right")] if len(starts) else starts
-    return starts[starts + window <= row_end]
+def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each row's words joined by one space, as two columns, and their number."""
+    data, at = utf8(column)
+    starts, ends, first = word_spans(data, at)
+    out, _, word_ends = spaced_words(data, starts, ends)
+    bounds = np.concatenate([[0], word_ends + 1])[first]
+    raw = memoryview(out)
+    made = b"".join(xxhash.xxh3_128_digest(raw[a : max(a, b - 1)]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    return np.frombuffer(made, "<i8").reshape(-1, 2), np.diff(first)
 
 
-def whole_copies(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words, h1, h2) of each document, and those whose word sequence a smaller doc_id has too."""
+def keyed_documents(base: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
+    """base as BASE, and (doc_id, sig, n_words, h1, h2) of each row. sig tells the texts of one doc_id apart; it is 0 where there is one."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words, first = _hashed(batch.column(1))
-            h1, h2 = spans_hash(words, first[:-1], first[1:], WHOLE), spans_hash(mix(words), first[:-1], first[1:], WINDOW_B)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "n_words", "h1", "h2"])
+            h, n = _sequences(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "n_words", "h1", "h2"])
+
+    each = saved(base.mapInArrow(digest, "doc_id long, n_words long, h1 long, h2 long"), "substring-docs")
+    sides = each.groupBy("doc_id").agg(*(f(x).alias(f"{f.__name__}_{x}") for x in ("h1", "h2") for f in (F.min, F.max)))
+    several = saved(sides.where("min_h1 <> max_h1 or min_h2 <> max_h2").select("doc_id"), "substring-ids")
+    n = several.count()
+    if not n:
+        return base.select("doc_id", F.lit(0).cast("long").alias("sig"), "text"), each.withColumn("sig", F.lit(0).cast("long"))
+    every = n > MAX_COPIES
+    store.write("several", np.zeros(0, np.int64) if every else np.sort(several.toArrow()["doc_id"].to_numpy()))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = store.open("several", np.int64)
+        for batch in slices(batches):
+            sig = _sequences(batch.column(1))[0][:, 0]
+            if not every:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                sig = np.where(known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids, sig, 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), batch.column(1)], ["doc_id", "sig", "text"])
+
+    own = each.withColumn("sig", F.col("h1")) if every else each.join(several.withColumn("_several", F.lit(True)), "doc_id", "left").withColumn("sig", F.when(F.col("_several"), F.col("h1")).otherwise(F.lit(0).cast("long"))).drop("_several")
+    return base.mapInArrow(sign, BASE), own
 
-    each = saved(docs.mapInArrow(digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, h1 long, h2 long"), "substring-docs")
+
+def whole_copies(each: DataFrame, window: int = 20) -> DataFrame:
+    """(doc_id, sig) of the documents of at least a window whose word sequence a smaller doc_id has too."""
     first = each.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each, each.where(F.col("n_words") >= window).join(first, ["h1", "h2", "n_words"]).where("doc_id > keep").select("doc_id")
+    return each.where(F.col("n_words") >= window).join(first, ["h1", "h2", "n_words"]).where("doc_id > keep").select("doc_id", "sig").distinct()
+
+
+class Copies:
+    """The whole copies, in the shared folder, sorted by id; several texts of one id are told apart by sig."""
+
+    def __init__(self, store: Store, copies: DataFrame):
+        self.store, self.n = store, copies.count()
+        self.n *= self.n <= MAX_COPIES
+        if self.n:
+            table = copies.toArrow()
+            pairs = np.stack([table["doc_id"].to_numpy(), table["sig"].to_numpy()], 1)
+            store.write("copies", pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))])
+
+    def has(self, batch: pa.RecordBatch) -> np.ndarray:
+        ids, sig = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not self.n:
+            return np.zeros(len(ids), bool)
+        known = self.store.open("copies", np.int64).reshape(-1, 2)
+        lo, hi = np.searchsorted(known[:, 0], ids, "left"), np.searchsorted(known[:, 0], ids, "right")
+        out = (lo < hi) & (known[np.minimum(lo, self.n - 1), 1] == sig)
+        for i in np.flatnonzero(hi - lo > 1).tolist():
+            out[i] = (known[lo[i] : hi[i], 1] == sig[i]).any()
+        return out
+
+    def without(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~self.has(batch))) if self.n else batch
 
 
 def encode_gaps(cells: np.ndarray) -> np.ndarray:
@@ -82,20 +151,20 @@ def decode_gaps(data: np.ndarray) -> np.ndarray:
 
 def _cells(h1: np.ndarray, h2: np.ndarray, bits: int) -> list[np.ndarray]:
     shift = np.uint64(64 - bits)
-    return [(h1 >> shift).astype(np.int64), (h2 >> shift).astype(np.int64)]
+    return [(h1 >> shift).astype(np.int32), (h2 >> shift).astype(np.int32)]
 
 
-def merged_sketch(docs: DataFrame, window: int, bits: int, copies) -> np.ndarray:
-    """ROWS rows of 2**bits cells, packed: a bit is set where windows of the corpus were counted twice or more."""
+def merged_sketch(docs: DataFrame, window: int, bits: int, copies: Copies, store: Store) -> None:
+    """Write ROWS rows of 2**bits cells (bits < 32), packed: a bit is set where windows of the corpus were counted twice or more."""
     large = min(bits, 22)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-            for row, cells in enumerate(_cells(*parts, bits)):
+            for row in range(ROWS):
+                cells = np.concatenate([x[row] for x in held])
                 cells.sort()
                 fresh = np.ones(len(cells), bool)
                 fresh[1:] = cells[1:] != cells[:-1]
@@ -105,16 +174,15 @@ def merged_sketch(docs: DataFrame, window: int, bits: int, copies) -> np.ndarray
                 for k, own in zip(names.tolist(), np.split(cells, cuts[1:]), strict=True):
                     base = k << large
                     twice = again[np.searchsorted(again, base) : np.searchsorted(again, base + (1 << large))]
-                    once = [encode_gaps(x - base).tobytes() for x in (own, twice)]
+                    once = [encode_gaps(x - np.int32(base)).tobytes() for x in (own, twice)]
                     yield pa.RecordBatch.from_arrays([pa.array([row << 20 | k], pa.int32()), pa.array([once[0]], pa.binary()), pa.array([once[1]], pa.binary())], ["segment", "once", "twice"])
             held.clear()
 
-        for batch in slices(_without(batches, copies)):
-            words, first = _hashed(batch.column(1))
-            starts = _windows(words, first, window)
-            if len(starts):
-                held.append((spans_hash(words, starts, starts + window, WINDOW_A), spans_hash(mix(words), starts, starts + window, WINDOW_B)))
-                n += len(starts)
+        for batch in slices(copies.without(batches)):
+            _, h1, h2, _ = _windows(batch.column(2), window)
+            if len(h1):
+                held.append(_cells(h1, h2, bits))
+                n += len(h1)
             if n >= FLUSH:
                 yield from flush()
                 n = 0
@@ -143,73 +211,77 @@ def merged_sketch(docs: DataFrame, window: int, bits: int, copies) -> np.ndarray
         k, size = r["segment"], (1 << large) // 8
         at = (k & 0xFFFFF) * size
         out[k >> 20, at : at + size] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    for row in range(ROWS):
+        store.write(f"sketch-{row}", out[row])
+
 
+def late_in_slice(ids: np.ndarray, sig: np.ndarray, at: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by hash, and which windows so ordered are late already among these. Rows come document by document, starts ascending.
 
-def _without(batches: Iterator[pa.RecordBatch], copies) -> Iterator[pa.RecordBatch]:
-    gone = None if copies is None else copies.value
-    for batch in batches:
-        if gone is not None and len(gone) and batch.num_rows:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(gone, ids), len(gone) - 1)
-            batch = batch.filter(pa.array(gone[at] != ids))
-        yield batch
+    Late: a smaller id among the same window's rows, or the row before is of the same document and window and starts earlier.
+    """
+    order = np.argsort(h1, kind="stable")
+    ids, sig, at, h1, h2 = ids[order], sig[order], at[order], h1[order], h2[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+    begins = np.flatnonzero(~same)
+    least = np.minimum.reduceat(ids, begins) if len(begins) else ids
+    late = ids > np.repeat(least, np.diff(np.append(begins, len(order))))
+    late[1:] |= same[1:] & (ids[1:] == ids[:-1]) & (sig[1:] == sig[:-1]) & (at[1:] > at[:-1])
+    return order, late
 
 
-def repeated_windows(docs: DataFrame, window: int, bits: int, copies, sketch) -> DataFrame:
-    """(doc_id, at): starts of windows whose word sequence also starts earlier, whole copies left out."""
+def repeated_windows(docs: DataFrame, window: int, bits: int, copies: Copies, store: Store) -> DataFrame:
+    """(doc_id, sig, at, n): n neighbouring windows from word at on whose word sequences also start earlier, whole copies left out."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = [np.frombuffer(x, np.uint8) for x in sketch.value]
+        bitmaps = [store.open(f"sketch-{row}", np.uint8) for row in range(ROWS)]
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
+        def rows(ids, sig, at, n, h1, h2) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(ids), 1 << 18):
+                own = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (ids, sig, at, n, h1.view(np.int64), h2.view(np.int64))], ["doc_id", "sig", "at", "n", "h1", "h2"])
+
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, at, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, sig, at, h1, h2 = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((at, ids, h2, h1))
-            ids, at, h1, h2 = ids[order], at[order], h1[order], h2[order]
-            same = np.zeros(len(h1), bool)
-            same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            begins = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-            later = same & ((ids != ids[begins]) | (at != at[begins]))
-            # the earliest here goes on to be compared with other slices; the later ones are known, and
-            # take a key of their own so that a window many documents hold is one row per slice
-            known = same & ((ids != ids[begins]) | (at != at[begins]))
-            keep = np.flatnonzero(~same | known)
-            ids, at, h1, h2, known = ids[keep], at[keep], h1[keep], h2[keep], known[keep]
-            h1 = np.where(known, mix(h1 + np.arange(len(h1), dtype=np.uint64)), h1)
-            at = np.where(known, -at - 1, at)
-            for i in range(0, len(keep), 1 << 20):
-                own = slice(i, i + (1 << 20))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own]), pa.array(at[own].astype(np.int32)), pa.array(h1[own].view(np.int64)), pa.array(h2[own].astype(np.uint32).view(np.int32))],
-                    ["doc_id", "at", "h1", "h2"],
-                )
-
-        for batch in slices(_without(batches, copies)):
-            words, first = _hashed(batch.column(1))
-            starts = _windows(words, first, window)
-            h1, h2 = spans_hash(words, starts, starts + window, WINDOW_A), spans_hash(mix(words), starts, starts + window, WINDOW_B)
+            order, late = late_in_slice(ids, sig, at, h1, h2)
+            # the earliest here go on to be compared with other slices
+            on = np.sort(order[~late])
+            yield from rows(ids[on], sig[on], at[on], np.ones(len(on), np.int32), h1[on], h2[on])
+            # the later ones are known: runs of neighbours, starts below zero, a key of their own
+            known = np.sort(order[late])
+            if len(known):
+                ids, sig, at = ids[known], sig[known], at[known]
+                cut = np.ones(len(known), bool)
+                cut[1:] = (ids[1:] != ids[:-1]) | (sig[1:] != sig[:-1]) | (at[1:] != at[:-1] + 1)
+                begins = np.flatnonzero(cut)
+                key = mix(h1[known[begins]] + begins.astype(np.uint64))
+                yield from rows(ids[begins], sig[begins], -at[begins] - 1, np.diff(np.append(begins, len(known))).astype(np.int32), key, np.zeros(len(begins), np.uint64))
+
+        for batch in slices(copies.without(batches)):
+            starts, h1, h2, first = _windows(batch.column(2), window)
             hit = np.ones(len(starts), bool)
             for cells, bitmap in zip(_cells(h1, h2, bits), bitmaps, strict=True):
                 hit &= (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
             starts, h1, h2 = starts[hit], h1[hit], h2[hit]
             if len(starts):
                 row = np.searchsorted(first, starts, "right") - 1
-                held.append((batch.column(0).to_numpy(zero_copy_only=False)[row], starts - first[row], h1, h2 & np.uint64(0xFFFFFFFF)))
+                ids, sig = (batch.column(k).to_numpy(zero_copy_only=False)[row] for k in (0, 1))
+                held.append((ids, sig, (starts - first[row]).astype(np.int32), h1, h2))
                 n += len(starts)
-            if n >= FLUSH // 2:
+            if n >= FLUSH_ASKED:
                 yield from flush()
                 n = 0
         if held:
             yield from flush()
 
-    asked = docs.mapInArrow(ask, "doc_id long, at int, h1 long, h2 int")
-    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "at")
-    # a start below zero is one that is known to be late
+    asked = docs.mapInArrow(ask, "doc_id long, sig long, at int, n int, h1 long, h2 long")
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id")
     late = asked.withColumn("r", F.rank().over(order)).where("at < 0 or r > 1")
-    return late.select("doc_id", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")).alias("at"))
+    return late.select("doc_id", "sig", F.when(F.col("at") < 0, -F.col("at") - 1).otherwise(F.col("at")).alias("at"), "n")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 28) -> DataFrame:
@@ -217,53 +289,48 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 
     Words are maximal runs of anything but ASCII white space; a window is ``window``
     consecutive words of one document. Earlier is in a document of smaller doc_id, or in the
-    same document before. Windows are judged on the input. Null texts have no words.
-    doc_id must be an integer and tells documents apart: rows that repeat an id and its text
-    are one document and get the same result each; rows of one id with several texts pool
-    their marks. A null doc_id counts as the smallest integer. An empty table gives an
-    empty result. Columns besides the two named are not read.
+    same document before. Windows are judged on the input. Null and empty texts have no words.
+    doc_id must be an integer (bigint at most). Rows that repeat an id and its text are one
+    document and get the same result each; rows of one id with different texts are documents
+    of their own, none of them earlier than the other (ties stay). A null doc_id counts as the smallest
+    integer. A text of any length is searched whole; it is held by one task. An empty table gives an
+    empty result. Columns besides the two named are not read, so theirs may clash with those added.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    each, copied = whole_copies(base, window)
+    store = Store(f"{shared_folder(spark)}/substrings-{uuid.uuid4().hex}")
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base, each = keyed_documents(named, store)
     n_words = each.agg(F.sum("n_words")).first()[0] or 0
     bits = int(min(max_bits, max(16, np.ceil(np.log2(max(1, 2 * n_words))))))
-    copied = saved(copied.distinct(), "substring-copies")
-    n_copies = copied.count()
-    known = None
-    if 0 < n_copies <= MAX_COPIES:
-        known = spark.sparkContext.broadcast(np.sort(copied.toArrow()["doc_id"].to_numpy()))
-    sketch = spark.sparkContext.broadcast([x.tobytes() for x in merged_sketch(base, window, bits, known)])
-    marks = repeated_windows(base, window, bits, known, sketch).groupBy("doc_id").agg(F.collect_list("at").alias("late"))
+    copies = Copies(store, saved(whole_copies(each, window), "substring-copies"))
+    merged_sketch(base, window, bits, copies, store)
+    marks = repeated_windows(base, window, bits, copies, store).groupBy("doc_id", "sig").agg(F.collect_list(F.struct("at", "n")).alias("late"))
     # only documents with marks are shuffled to meet them; the others are known by their ids up to a checked number
     marks = saved(marks, "substring-marks")
-    nothing = F.array().cast("array<int>").alias("late")
-    if marks.count() <= MAX_COPIES:
-        marked = F.broadcast(marks.select("doc_id"))
-        met = base.join(marked, "doc_id", "left_semi").join(marks, "doc_id").select("doc_id", "text", "late")
-        joined = base.join(marked, "doc_id", "left_anti").select("doc_id", "text", nothing).unionAll(met)
+    nothing = F.array().cast("array<struct<at:int,n:int>>").alias("late")
+    columns = ["doc_id", "sig", "text", "late"]
+    if marks.count() <= MAX_MARKED:
+        marked = F.broadcast(marks.select("doc_id", "sig"))
+        met = base.join(marked, ["doc_id", "sig"], "left_semi").join(marks, ["doc_id", "sig"]).select(*columns)
+        joined = base.join(marked, ["doc_id", "sig"], "left_anti").select("doc_id", "sig", "text", nothing).unionAll(met)
     else:
-        joined = base.join(marks, "doc_id", "left").select("doc_id", "text", "late")
+        joined = base.join(marks, ["doc_id", "sig"], "left").select(*columns)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone = np.zeros(0, np.int64) if known is None else known.value
         for batch in slices(batches):
-            data, at = utf8(batch.column(1))
+            data, at = utf8(batch.column(2))
             starts, ends, first = word_spans(data, at)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             cover = np.zeros(len(starts) + 1, np.int64)
-            late = batch.column(2)
-            values = late.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            late = batch.column(3)
+            spans = late.flatten()
+            begin, n = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             row = np.repeat(np.arange(len(late)), late.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            begin = first[row] + values
-            fits = begin + window <= first[row + 1]
-            np.add.at(cover, begin[fits], 1)
-            np.add.at(cover, begin[fits] + window, -1)
-            if len(gone):
-                whole = np.flatnonzero(np.isin(ids, gone))
-                cover_whole = whole[first[whole + 1] - first[whole] >= window]
-                np.add.at(cover, first[cover_whole], 1)
-                np.add.at(cover, first[cover_whole + 1], -1)
+            begin = first[row] + begin
+            np.add.at(cover, begin, 1)
+            np.add.at(cover, begin + n - 1 + window, -1)
+            whole = np.flatnonzero(copies.has(batch))
+            np.add.at(cover, first[whole], 1)
+            np.add.at(cover, first[whole + 1], -1)
             kept = np.cumsum(cover)[:-1] == 0
             n = np.diff(first)
             kept_before = np.concatenate([[0], np.cumsum(kept)])
@@ -278,4 +345,4 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
             )
 
     result = joined.mapInArrow(clean, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return result.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    return result.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

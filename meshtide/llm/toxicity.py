@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.llm.arrowtext import binaries, gather, slices, utf8, word_spans
+from meshtide.llm.arrowtext import coded_words, slices, utf8
 
 MAX_ROWS = 4_000
 SEGMENT = 256
@@ -39,14 +39,6 @@ def word_features(word: bytes) -> list[str]:
     return ["b", "w=" + w, *(f"p{k}={w[:k]}" for k in range(3, 8) if len(w) >= k), "s=" + w[-3:]]
 
 
-def coded_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, each token's word, each row's first token, the bytes and the tokens' spans in them."""
-    data, at = utf8(column)
-    starts, ends, first = word_spans(data, at)
-    coded = binaries(*gather(data, starts, ends)).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), first, data, starts, ends
-
-
 class Chain:
     """Forward-backward over many two-state chains at once, chains cut into segments of SEGMENT tokens.
 
@@ -69,6 +61,8 @@ class Chain:
 
     def odds(self, scores: np.ndarray, moves: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward odds of state 1 for each token."""
+        if not len(self.begin):
+            return np.zeros(self.n), np.zeros(self.n)
         e = np.exp(np.clip(scores, -30, 30))[self.place]
         (m00, m01), (m10, m11) = moves
         s = len(self.begin)
@@ -111,10 +105,12 @@ class Field:
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray, start: float, regression: np.ndarray):
         self.weights, self.moves, self.start, self.regression = weights, moves, start, regression
+        #: whether there were labels of both kinds to learn from
+        self.trained = bool(weights)
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self):
-        return {"weights": self.weights, "moves": self.moves, "start": self.start, "regression": self.regression, "known": {}}
+        return {"trained": self.trained, "weights": self.weights, "moves": self.moves, "start": self.start, "regression": self.regression, "known": {}}
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > 150_000:
@@ -127,7 +123,7 @@ class Field:
 
     def marginals(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         words, code, first, data, starts, ends = coded_words(column)
-        a, b = Chain(first).odds(self.word_scores(words)[code] if len(code) else np.zeros(0), self.moves, self.start)
+        a, b = Chain(first).odds(self.word_scores(words.to_pylist())[code] if len(code) else np.zeros(0), self.moves, self.start)
         return a * b / (1 + a * b), first, data, starts, ends
 
     def score(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -153,6 +149,7 @@ def fit(texts: list[str | None], labels: np.ndarray, steps: int = 60) -> Field:
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     prior = np.array([np.log(share / (1 - share)), 0, 0, 0])
     words, code, first, *_ = coded_words(pa.array(texts, pa.string()))
+    words = words.to_pylist()
     if not words or labels.min() == labels.max():  # no words: the same for any text
         return Field({}, np.ones((2, 2)), 1.0, prior)
     names: dict[str, int] = {}
@@ -247,7 +244,13 @@ def fold(id_col: Column, folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Field:
-    """Fit to at most max_rows labelled documents outside fold 0, those whose ids hash lowest."""
+    """Fit to at most max_rows labelled documents outside fold 0, those whose ids hash lowest.
+
+    Null ids and null labels are no labelled rows; of several labels of an id the largest counts. Rows of
+    docs that repeat an id and its text are learnt from as often as they stand there, but counted once
+    where words are marked; ids that hash alike go by the id itself. Empty tables of docs or labels give a field that has
+    learnt nothing (trained is false). Columns besides those named are not read.
+    """
     chosen = labels.where((fold(F.col(id_col)) != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     chosen = chosen.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     # at most max_rows small rows, so the broadcast is bounded
@@ -269,8 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, field: Field, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with score (0 to 1), predicted (0 or 1) and spans, an array of (start, end, probability) in code points.
 
-    A span is a run of tokens whose marginals reach the threshold. Null and empty texts have no
-    tokens and get the score of a text without any. All columns of docs are kept; columns of
+    A span is a run of tokens whose marginals reach the threshold; a token of exactly the threshold, or a
+    score of 0.5, counts as reaching it. Null and empty texts have no tokens and get the score of a text
+    without any. A text of any length is scored whole; it is held by one task. All columns of docs are kept; columns of
     docs named like an added one give way to it. Repeated rows are scored alike; an empty
     table gives an empty result.
     """
@@ -301,5 +305,18 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", thres
 
 
 def drop_toxic(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their columns."""
-    return score_documents(docs, field, text_col).where("predicted = 0").select(*docs.columns)
+    """The rows of docs that are not predicted toxic, with their columns, of any names.
+
+    Null and empty texts are judged as texts without words. Repeated rows go or stay together. A field that
+    had no labels of both kinds to learn from rejects nothing. An empty table gives an empty result.
+    """
+    if not field.trained:
+        return docs
+    text_at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_at):
+            p, first, *_ = field.marginals(batch.column(text_at))
+            yield batch.filter(pa.array(field.score(p, first) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
