@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.llm.shared import saved
+from meshtide.llm.shared import saved, unused, without
 
 SHINGLE = 5
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,7 +107,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that contain no item, with all their columns; a row goes by its own text, whatever its id, null among them."""
-    own = F.unhex(F.sha2(F.col(text_col).cast("string"), 256))
-    gone = contaminated(docs.select(own.alias("_own_sha"), text_col), items, threshold, "_own_sha", text_col).select(F.col("doc_id").alias("_gone_sha")).distinct()
-    return docs.select("*", own.alias("_own_sha")).join(gone, F.col("_own_sha") == F.col("_gone_sha"), "left_anti").select(*docs.columns)
+    """The rows of docs that contain no item, with all their columns.
+
+    A row goes by its own text, whatever its id, null among them; rows that repeat go or stay together. A
+    null or empty text, or one of fewer words than a shingle, stays. Empty tables of docs or items leave docs as
+    they are. Columns may have any names.
+    """
+    own, key = F.unhex(F.sha2(F.col(text_col).cast("string"), 256)), unused(docs.columns, "ownsha")
+    texts = docs.select(own.alias("sha"), F.col(text_col).alias("own_text"))
+    gone = saved(contaminated(texts, items, threshold, "sha", "own_text").select(F.col("doc_id").alias(f"_{key}")).distinct(), "contaminated")
+    return without(docs.select("*", own.alias(key)), gone, [key]).select(*docs.columns)

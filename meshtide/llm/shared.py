@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,42 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rejected rows, of some 100 bytes each, are broadcast up to so many; beyond, rows are shuffled to meet them.
+FEW_ROWS = 250_000
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name beginning with name that no column has, with underscores before it or not."""
+    taken = {c.lower().lstrip("_") for c in columns}
+    while name in taken:
+        name += "x"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str], how: str = "left_anti") -> DataFrame:
+    """The rows of docs whose keys are not among gone's (left_semi: are), nulls equal to nulls. gone has the columns keys, each with _ before it."""
+    few = gone.count() <= FEW_ROWS
+    met = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return docs.join(F.broadcast(gone) if few else gone, met, how)
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame, own: Column, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that decided(doc_id, own, kept) keeps, with all their columns; of rows that repeat a kept id and own one stays.
+
+    own, of a row, tells the texts of one id apart. What is shuffled of docs is, where little is
+    rejected, only rows that repeat.
+    """
+    keys = [unused(docs.columns, "keptbyid"), unused(docs.columns, "keptbyown")]
+    rows = docs.select("*", F.col(id_col).alias(keys[0]), own.alias(keys[1]))
+    each = decided.groupBy(F.col("doc_id").alias(f"_{keys[0]}"), F.col("own").alias(f"_{keys[1]}")).agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    each = saved(each.where("not kept or n > 1"), "decided")
+    rows = without(rows, each.where("not kept").drop("kept", "n"), keys)
+    several = each.where("kept").drop("kept", "n")
+    if several.limit(1).count():
+        rows = without(rows, several, keys).unionByName(without(rows, several, keys, "left_semi").dropDuplicates(keys))
+    return rows.select(*docs.columns)
+
+
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components as (node, component): component is the smallest node reachable.
 

@@ -6,9 +6,10 @@ bytes: that is the guaranteed minimum a pair's tally must reach. A list for each
 (position, byte) would hold every 256th fingerprint, and tallying over its pairs would grow
 with the square of the corpus. The lists are therefore intersected several at a time. First
 four at a time: every choice of five positions holds one of fourteen choices of four, so two
-fingerprints with a tally of five share a posting of four. A posting that two fingerprints
-share is verified at once, bit by bit; one that more share is tallied a byte further, so
-that they meet under a key of five positions exactly when their tally reaches the minimum.
+fingerprints with a tally of five share a posting of four. The pair of a posting that two
+fingerprints share has its shared positional bytes tallied, and is retained if the tally
+reaches the minimum. A posting that more share is intersected with a fifth position first;
+there every pair is tallied in the same way. Retained pairs are verified, bit by bit.
 
 Equal fingerprints are one entry of the index, however many documents have them. A posting
 of five positions leaves three bytes open, so it never holds more than 2**24 entries; inside
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshtide.llm.arrowtext import ascii_lower, slices, spaced_words, utf8, word_spans
-from meshtide.llm.shared import components, saved
+from meshtide.llm.shared import components, keep_decided, saved
 from meshtide.llm.xxh64 import xxh64_spans
 
 BYTES = 8
@@ -85,6 +86,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def spanning_links(values: np.ndarray, max_bits: int) -> np.ndarray:
     """Pairs of indices of a spanning forest of the links between distinct values of one posting."""
     n = len(values)
+    least = BYTES - max_bits
     parent = np.arange(n)
 
     def find(i: int) -> int:
@@ -104,8 +106,11 @@ def spanning_links(values: np.ndarray, max_bits: int) -> np.ndarray:
                 found.append((i, j))
 
     if n <= DIRECT:
+        positional = values.view(np.uint8).reshape(n, BYTES)
         for i in range(n - 1):
-            near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= max_bits) + i + 1
+            tally = (positional[i + 1 :] == positional[i]).sum(axis=1)
+            near = np.flatnonzero(tally >= least) + i + 1
+            near = near[np.bitwise_count(values[near] ^ values[i]) <= max_bits]
             link(np.full(len(near), i), near)
     else:
         varying = np.bitwise_or.reduce(values ^ values[0])
@@ -116,6 +121,7 @@ def spanning_links(values: np.ndarray, max_bits: int) -> np.ndarray:
             for own in combinations(bits, size):
                 flipped = values ^ np.bitwise_or.reduce(np.array(own, np.uint64))
                 at = np.minimum(np.searchsorted(ordered, flipped), n - 1)
+                # values that differ in these bits share the bytes without them, the guaranteed minimum at least
                 hit = np.flatnonzero((ordered[at] == flipped) & (flipped > values))
                 link(hit, order[at[hit]])
     return np.array(found, np.int64).reshape(-1, 2)
@@ -137,6 +143,13 @@ def _key(positions: tuple[int, ...]) -> Column:
     return F.xxhash64(F.lit(sum(1 << k for k in positions)), F.col("fp").bitwiseAND(F.lit(_signed(sum(0xFF << 8 * k for k in positions)))))
 
 
+def shared_bytes(a: Column, b: Column) -> Column:
+    """The tally of a pair: at how many of the eight positions both have the same byte."""
+    differing = a.bitwiseXOR(b)
+    same = [F.when(differing.bitwiseAND(F.lit(_signed(0xFF << 8 * k))) == 0, 1).otherwise(0) for k in range(BYTES)]
+    return sum(same[1:], same[0])
+
+
 def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (column fp) that differ in at most max_bits bits, max_bits < 7."""
     least = BYTES - max_bits
@@ -145,8 +158,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     shared = postings.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = saved(postings.join(shared, ["choice", "key"]), "simhash-met")
     pairs = met.where("n = 2").groupBy("choice", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).select("a", "b")
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    # postings that more than two share are tallied one byte further, to the guaranteed minimum
+    pairs = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= least).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    # postings that more than two share are intersected with one position more, to the guaranteed minimum
     further = [F.array(*(_key(tuple(sorted((*c, k)))) for k in range(BYTES) if k not in c)) for c in choices]
     longer = met.where("n > 2").select("fp", F.explode(F.array(*further)[F.col("choice")]).alias("key")).distinct()
     crowded = longer.groupBy("key").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
@@ -167,9 +180,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints of lower-cased (A to Z) three-word shingles, repeats included; a text of
     fewer words is one shingle, a text of none has fingerprint zero and links like any other.
     component_id is the smallest doc_id reachable over links of at most max_bits differing
-    bits, itself included; null ids are passed over by the smallest. Null texts have no words.
-    Repeated rows get the same result each. An empty table gives an empty result. Columns
-    besides the two named are not read.
+    bits, itself included; null ids are passed over by the smallest. A bit that exactly half the shingles
+    have is not set. Null and empty texts have no words. A text of any length has one fingerprint of all its
+    shingles; it is held by one task. Repeated rows get the same result each. An empty table gives an empty
+    result. Columns besides the two named are not read, so theirs may clash with those added.
     """
     each = saved(document_fingerprints(docs, id_col, text_col), "simhash-docs")
     fps = each.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -183,12 +197,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3) -> DataFrame:
     """The rows of docs that stay, one document of each component, with all their columns.
 
-    The decision is of a row's id and text: an id may stay with one text and go with another,
-    and a null id goes where its component has an id.
+    Null and empty texts have fingerprint zero and are linked like any other. The decision is of a row's
+    id and text: an id may stay with one text and go with another, and a null id stays only where its
+    component has no id. The smallest id stays; of its texts, should it have several here, the one of the
+    smallest SHA-256; of rows that repeat it, one. An empty table gives an empty result. Columns may have any names.
     """
     own = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     # the smallest of a component's keys has its smallest id, and a null only where it has no other
-    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), own.alias("sha")).alias("_own_key"), text_col)
-    far = near_duplicates(keyed, "_own_key", text_col, max_bits).where(~F.col("doc_id.id").eqNullSafe(F.col("component_id.id")))
-    gone = far.select(F.col("doc_id.id").alias("_gone_id"), F.col("doc_id.sha").alias("_gone_sha")).distinct()
-    return docs.select("*", own.alias("_own_sha")).join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_own_sha") == F.col("_gone_sha")), "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), own.alias("sha")).alias("_own_key"), F.col(text_col).alias("_own_text"))
+    each = near_duplicates(keyed, "_own_key", "_own_text", max_bits)
+    decided = each.select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.sha").alias("own"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return keep_decided(docs, decided, own, id_col)
