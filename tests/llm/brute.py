@@ -140,3 +140,24 @@ class Bigrams:
 
 def crc_fold(i):
     return zlib.crc32(str(i).encode()) % 5
+
+
+def toxicity_score(text, field, features):
+    """A document's score by forward-backward over its whole chain, token by token, and the regression."""
+    words = [w.encode() for w in WORD.findall(text or "")]
+    e = [math.exp(max(-30, min(30, sum(field.weights.get(f, 0) for f in features(w))))) for w in words]
+    m, p = field.moves, []
+    if words:
+        fore = [(1.0, field.start * e[0])]
+        for x in e[1:]:
+            a, b = fore[-1]
+            one, two = a * m[0][0] + b * m[1][0], (a * m[0][1] + b * m[1][1]) * x
+            fore.append((one / (one + two), two / (one + two)))
+        back = [(1.0, 1.0)]
+        for x in e[:0:-1]:
+            a, b = back[-1]
+            one, two = m[0][0] * a + m[0][1] * x * b, m[1][0] * a + m[1][1] * x * b
+            back.append((one / (one + two), two / (one + two)))
+        p = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(fore, back[::-1], strict=True)]
+    x = [1, max(p, default=0), math.log1p(sum(p)), math.sqrt(sum(p) / max(1, len(p)))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, field.regression, strict=True)))), x
