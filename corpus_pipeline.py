@@ -36,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two lengths, as packing.pack describes, without the ids themselves."""
-    return packing.pack(docs, tokenizer_path()).drop("ids")
+    return packing.pack(docs, tokenizer_path(), with_ids=False)
 
 
 STAGES = [
