@@ -43,6 +43,23 @@ def uniform(*keys: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
+#: Numbers that a ray draws: four for its line, one for the face it starts on.
+DRAWS = 5
+#: How far each draw moves from ray to ray: powers of the root of x**6 = x + 1, so that few rays are spread evenly in all draws at once.
+STRIDES = tuple(1.1347241384015194 ** -(k + 1) for k in range(DRAWS))
+
+
+def ray_key(seed: int, mesh_id: Column, component: Column) -> Column:
+    """Hexadecimal digits from which the draws of a component's rays begin."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), mesh_id, component.cast("string")).cast("binary"))
+
+
+def draw(key: Column, ray_no: Column, k: int) -> Column:
+    """The k-th number in [0, 1) of a ray: six digits of the key and a stride for each ray, without the whole part."""
+    x = F.conv(F.substring(key, 6 * k + 1, 6), 16, 10).cast("bigint") / F.lit(16777216.0) + ray_no.cast("double") * F.lit(STRIDES[k])
+    return x % F.lit(1.0)
+
+
 def quantised(x: Column, places: int = 6) -> Column:
     """x as an integer count of 10**-places, so that sums do not depend on their order."""
     return F.floor(x * F.lit(10.0**places) + 0.5).cast("bigint")

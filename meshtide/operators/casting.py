@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshtide.functions import cross, dot, quantised, sub, vector
+from meshtide.functions import DRAWS, STRIDES, cross, dot, quantised, sub, vector
 from meshtide.model import AXES, CORNERS, Settings
 from meshtide.operators.rays import GRAZING
 
 LINE_HITS = "mesh_id string, component bigint, front_escapes bigint, back_escapes bigint, front_distance bigint, back_distance bigint"
 #: Rays a task of the Arrow way casts, about.
-TASK_RAYS = 2_000_000
+TASK_RAYS = 500_000
 LEAF = 4
 
 
@@ -33,13 +33,11 @@ def line_hits(lines: DataFrame, tri: DataFrame) -> DataFrame:
 
     Steps of the test are columns of their own, so that each is computed once, and there is no filter that
     would be pushed into the join as one long expression: misses are nulls, which the aggregates
-    after it pass over. Lines are dealt evenly first; the groupings by line need no other shuffle.
+    after it pass over. Lines and triangles are dealt by mesh; the groupings by line after it need no other shuffle.
     """
     other = tri.select("mesh_id", F.col("face_id").alias("hit_face"), *(f"{k}{x}" for k in CORNERS for x in AXES))
     own = lines.withColumnRenamed("mesh_id", "line_mesh")
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = own.repartition(parts, "line_mesh", "component", "ray_no")
-    met = own.join(other, (F.col("line_mesh") == F.col("mesh_id")) & (F.col("face_id") != F.col("hit_face")), "left")
+    met = own.join(other.hint("shuffle_hash"), (F.col("line_mesh") == F.col("mesh_id")) & (F.col("face_id") != F.col("hit_face")), "left")
     named = lambda name, v: {f"{name}{x}": c for x, c in zip(AXES, v, strict=True)}
     a, b, c = (vector(k) for k in CORNERS)
     met = met.withColumns(named("e1", sub(b, a)) | named("e2", sub(c, a)) | named("s", sub(vector("o"), a)))
@@ -181,8 +179,19 @@ def count_apart(line: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def draws(seed: int, mesh_id: str, component: np.ndarray, ray_no: np.ndarray) -> np.ndarray:
+    """The same numbers as functions.draw gives, a row for each ray; rays of a component stand together."""
+    names, first, back = np.unique(component, return_index=True, return_inverse=True)
+    keys = [hashlib.md5(f"{seed}|{mesh_id}|{k}".encode()).hexdigest() for k in names.tolist()]
+    begin = np.array([[int(k[6 * i : 6 * i + 6], 16) for i in range(DRAWS)] for k in keys], float).reshape(-1, DRAWS) / 16777216.0
+    return (begin[back] + ray_no[:, None].astype(float) * np.array(STRIDES)) % 1.0
+
+
 def cast_in_arrow(tri: DataFrame, allotted: DataFrame, settings: Settings) -> DataFrame:
-    """LINE_HITS by the Arrow way. With use_parity, front_escapes and back_escapes count odd crossings and distances are zero."""
+    """LINE_HITS by the Arrow way: the rays that rays.starts and rays.cast_lines describe, each share making its own only.
+
+    With use_parity, front_escapes and back_escapes count odd crossings and distances are zero.
+    """
     seed, parity = settings.seed, settings.use_parity
     rays = allotted.select("mesh_id", "component", "rays")
     tasks = allotted.groupBy("mesh_id").agg(F.greatest(F.lit(1), F.ceil(F.sum("rays") / TASK_RAYS)).cast("int").alias("shares"))
@@ -190,38 +199,41 @@ def cast_in_arrow(tri: DataFrame, allotted: DataFrame, settings: Settings) -> Da
 
     def run(key, table):
         table = table.sort_by("face_id")
-        share, shares = key[1].as_py(), table["shares"][0].as_py()
+        mesh, share, shares = key[0].as_py(), key[1].as_py(), table["shares"][0].as_py()
         a, b, c = (np.stack([table[f"{k}{x}"].to_numpy() for x in AXES], 1) for k in CORNERS)
-        component, area = table["component"].to_numpy(), table["dbl_area"].to_numpy()
+        component, area = table["component"].to_numpy(), np.floor(table["dbl_area"].to_numpy() * 1e6 + 0.5).astype(np.int64)
         names, first_of, number = np.unique(component, return_index=True, return_inverse=True)
-        count = table["rays"].to_numpy()[first_of]
+        before = np.concatenate([[0], np.cumsum(table["rays"].to_numpy()[first_of])])
+        # faces with area in order of component and number, and how far their areas reach within the component
         order = np.lexsort((np.arange(len(number)), number))
-        reach = np.cumsum(area[order])
+        order = order[area[order] > 0]
         bounds = np.searchsorted(number[order], np.arange(len(names) + 1))
-        whole = np.r_[0.0, reach][bounds]
-        group = np.repeat(np.arange(len(names)), count)
-        mine = np.arange(len(group)) % shares == share
-        word = int.from_bytes(hashlib.blake2b(key[0].as_py().encode(), digest_size=8).digest(), "little")
-        draw = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), word]))
-        u = draw.random((len(group), 5))[mine]
-        group = group[mine]
-        target = whole[group] + u[:, 0] * (whole[group + 1] - whole[group])
-        at = np.minimum(np.maximum(np.searchsorted(reach, target, "right"), bounds[group]), bounds[group + 1] - 1)
-        face = order[at]
-        some = area[face] > 0
-        group, face, u = group[some], face[some], u[some]
+        reach = np.concatenate([[0], np.cumsum(area[order])])
+        # this share's rays
+        index = np.arange(share, before[-1], shares)
+        group = np.searchsorted(before, index, "right") - 1
+        u = draws(seed, mesh, names[group], index - before[group])
+        whole = reach[bounds]
+        # the first face that reaches beyond the draw's part of the component's area
+        target = u[:, 4] * (whole[group + 1] - whole[group])
+        low, high = bounds[group].copy(), bounds[group + 1] - 1
+        while (low < high).any():
+            middle = (low + high) // 2
+            beyond = reach[middle + 1] - whole[group] > target
+            low, high = np.where(beyond, low, np.minimum(middle + 1, high)), np.where(beyond, middle, high)
+        face = order[low]
         tree = Hierarchy(a, b, c)
         out = np.zeros((len(names), 4), np.int64)
         for i in range(0, len(face), 100_000):
             f, v, g = face[i : i + 100_000], u[i : i + 100_000], group[i : i + 100_000]
-            root = np.sqrt(v[:, 1:2])
-            o = (1 - root) * a[f] + (1 - v[:, 2:3]) * root * b[f] + v[:, 2:3] * root * c[f]
+            root = np.sqrt(v[:, 0:1])
+            o = (1 - root) * a[f] + (1 - v[:, 1:2]) * root * b[f] + v[:, 1:2] * root * c[f]
             n = np.cross(b[f] - a[f], c[f] - a[f])
             n /= np.linalg.norm(n, axis=1, keepdims=True)
             s = b[f] - a[f]
             s /= np.linalg.norm(s, axis=1, keepdims=True)
-            up = GRAZING + (1 - GRAZING) * v[:, 3:4]
-            flat, turn = np.sqrt(1 - up * up), 2 * np.pi * v[:, 4:5]
+            up = GRAZING + (1 - GRAZING) * v[:, 2:3]
+            flat, turn = np.sqrt(1 - up * up), 2 * np.pi * v[:, 3:4]
             d = up * n + flat * (np.cos(turn) * s + np.sin(turn) * np.cross(n, s))
             if parity:
                 line, t = tree.cast(o, d, f, True)

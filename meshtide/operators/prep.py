@@ -9,13 +9,13 @@ from meshtide.functions import cross, norm, sub, vector
 from meshtide.model import AXES, CORNERS
 
 
-def gather(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Faces with their corners' coordinates (ax .. cz): three equi-joins that one partitioning by mesh serves."""
+def gather(vertices: DataFrame, faces: DataFrame, *kept: str) -> DataFrame:
+    """Faces with their corners' coordinates (ax .. cz) and the columns kept: three equi-joins on mesh and vertex."""
     out = faces
     for k in CORNERS:
         own = vertices.select("mesh_id", F.col("vertex_id").alias(k), *(F.col(x).alias(f"{k}{x}") for x in AXES))
         out = out.join(own, ["mesh_id", k])
-    return out.select("mesh_id", "face_id", *CORNERS, *(f"{k}{x}" for k in CORNERS for x in AXES))
+    return out.select("mesh_id", "face_id", *CORNERS, *(f"{k}{x}" for k in CORNERS for x in AXES), *kept)
 
 
 def with_normals(tri: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshtide.functions import add, cross, norm, quantised, scale, sub, uniform, vector
+from meshtide.functions import add, cross, draw, norm, quantised, ray_key, scale, sub, vector
 from meshtide.model import AXES, Settings
 
 #: A direction's cosine to the normal is at least this.
@@ -36,28 +36,28 @@ def running_areas(tri: DataFrame) -> DataFrame:
 
 
 def starts(tri: DataFrame, allotted: DataFrame, settings: Settings) -> DataFrame:
-    """(mesh_id, component, ray_no, face_id): the face each ray starts on, as likely as its area within its component.
+    """(mesh_id, component, ray_no, face_id, u0 .. u3): the face each ray starts on, as likely as its area within its component, and its draws.
 
     With every face its own component this is the face itself. Otherwise faces' running areas and
     rays' targets are sorted together and each ray takes the next face: one sort, no range join.
     """
-    rays = allotted.where("rays > 0").select("mesh_id", "component", "area", F.explode(F.sequence(F.lit(0), F.col("rays").cast("int") - 1)).alias("ray_no"))
+    some = allotted.where("rays > 0").withColumn("key", ray_key(settings.seed, F.col("mesh_id"), F.col("component")))
+    rays = some.select("mesh_id", "component", "area", "key", F.explode(F.sequence(F.lit(0), F.col("rays").cast("int") - 1)).alias("ray_no"))
+    draws = [draw(F.col("key"), F.col("ray_no"), k).alias(f"u{k}") for k in range(4)]
     if settings.facet_wise:
-        return rays.select("mesh_id", "component", "ray_no", F.col("component").alias("face_id"))
-    target = uniform(settings.seed, F.col("mesh_id"), F.col("component"), F.col("ray_no"), "start") * F.col("area")
-    asked = rays.select("mesh_id", "component", target.alias("at"), F.lit(1).alias("kind"), "ray_no", F.lit(None).cast("bigint").alias("face_id"))
+        return rays.select("mesh_id", "component", "ray_no", F.col("component").alias("face_id"), *draws)
+    target = draw(F.col("key"), F.col("ray_no"), 4) * F.col("area")
+    asked = rays.select("mesh_id", "component", target.alias("at"), F.lit(1).alias("kind"), "ray_no", F.lit(None).cast("bigint").alias("face_id"), *draws)
     # faces without area reach no further than the face before and are never picked
-    known = running_areas(tri.where(quantised(F.col("dbl_area")) > 0)).select("mesh_id", "component", F.col("reach").cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ray_no"), "face_id")
+    known = running_areas(tri.where(quantised(F.col("dbl_area")) > 0)).select("mesh_id", "component", F.col("reach").cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("ray_no"), "face_id", *(F.lit(None).cast("double").alias(f"u{k}") for k in range(4)))
     order = Window.partitionBy("mesh_id", "component").orderBy("at", "kind", "ray_no").rowsBetween(0, Window.unboundedFollowing)
     picked = asked.unionByName(known).withColumn("face_id", F.first("face_id", ignorenulls=True).over(order))
-    return picked.where("kind = 1").select("mesh_id", "component", "ray_no", "face_id")
+    return picked.where("kind = 1").select("mesh_id", "component", "ray_no", "face_id", *(f"u{k}" for k in range(4)))
 
 
-def cast_lines(tri: DataFrame, begun: DataFrame, settings: Settings) -> DataFrame:
+def cast_lines(tri: DataFrame, begun: DataFrame) -> DataFrame:
     """(mesh_id, component, ray_no, face_id, ox, oy, oz, dx, dy, dz): a random point of the face and a direction off its front, evenly spread but not grazing."""
-    key = (F.col("mesh_id"), F.col("component"), F.col("ray_no"))
     at = begun.join(tri.drop("component"), ["mesh_id", "face_id"])
-    at = at.withColumns({f"u{k}": uniform(settings.seed, *key, str(k)) for k in range(4)})
     a, b, c = (vector(k) for k in "abc")
     root = F.sqrt("u0")
     origin = add(add(scale(a, 1.0 - root), scale(b, (1.0 - F.col("u1")) * root)), scale(c, F.col("u1") * root))

@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 
 from meshtide.model import Settings, validate
 from meshtide.operators import casting, components, prep, raster, rays, voting
+from meshtide.operators.staging import saved
 
-#: Up to so many faces in the largest mesh, and pairs of a ray and a face in all, rays are cast in SQL.
-SQL_FACES, SQL_PAIRS = 500, 2_000_000_000
-
-
-def _strategy(faces: DataFrame, settings: Settings) -> str:
-    if settings.strategy != "auto":
-        return settings.strategy
-    per_face = 100
-    sizes = faces.groupBy("mesh_id").count().agg(F.max("count"), F.sum(F.col("count") * F.col("count"))).first()
-    return "sql" if (sizes[0] or 0) <= SQL_FACES and (sizes[1] or 0) * per_face <= SQL_PAIRS else "arrow"
+#: Rays are cast in SQL in meshes of up to so many faces, by the Arrow way in larger ones.
+SQL_FACES = 500
 
 
 def wind(faces: DataFrame, settings: Settings) -> DataFrame:
@@ -28,26 +21,45 @@ def wind(faces: DataFrame, settings: Settings) -> DataFrame:
     return wound.join(prep.turned(faces, wound), ["mesh_id", "face_id"])
 
 
+def _votes(tri: DataFrame, settings: Settings, strategy: str) -> DataFrame:
+    """(mesh_id, component, vote) of wound triangles with component and dbl_area."""
+    allotted = rays.allot(tri, settings)
+    if strategy == "sql":
+        lines = rays.cast_lines(tri, rays.starts(tri, allotted, settings))
+        if settings.use_parity:
+            return voting.parity_votes(casting.tally_odd(casting.crossings(lines, tri)))
+        return voting.escape_votes(casting.tally(casting.nearest_hits(lines, tri)))
+    tallied = casting.cast_in_arrow(tri, allotted, settings)
+    if settings.use_parity:
+        return voting.parity_votes(tallied.withColumnsRenamed({"front_escapes": "front_odd", "back_escapes": "back_odd"}))
+    return voting.escape_votes(tallied)
+
+
 def reorient_facets_raycast(vertices: DataFrame, faces: DataFrame, check: bool = True, **options) -> DataFrame:
-    """(mesh_id, face_id, flip, component): which faces to flip so that all face outward. Options as in Settings."""
+    """(mesh_id, face_id, flip, component): which faces to flip so that all face outward. Options as in Settings.
+
+    A mesh's answer depends on itself and the settings alone: rays are the same either way of casting them, and the
+    way is chosen for each mesh by its own number of faces. Wound faces and triangles are made once and saved.
+    """
     settings = Settings(**options)
     if check:
         validate(vertices, faces)
     wound = wind(faces, settings)
-    tri = prep.with_normals(prep.gather(vertices, wound)).join(wound.select("mesh_id", "face_id", "component"), ["mesh_id", "face_id"])
-    allotted = rays.allot(tri, settings)
-    if _strategy(faces, settings) == "sql":
-        lines = rays.cast_lines(tri, rays.starts(tri, allotted, settings), settings)
-        if settings.use_parity:
-            votes = voting.parity_votes(casting.tally_odd(casting.crossings(lines, tri)))
-        else:
-            votes = voting.escape_votes(casting.tally(casting.nearest_hits(lines, tri)))
+    if not settings.facet_wise:
+        wound = saved(wound, "wound")
+    tri = saved(prep.with_normals(prep.gather(vertices, wound, "component")), "triangles")
+    if settings.strategy != "auto":
+        votes = _votes(tri, settings, settings.strategy)
     else:
-        tallied = casting.cast_in_arrow(tri, allotted, settings)
-        if settings.use_parity:
-            votes = voting.parity_votes(tallied.withColumnsRenamed({"front_escapes": "front_odd", "back_escapes": "back_odd"}))
+        sizes = saved(tri.groupBy("mesh_id").count(), "sizes")
+        large = sizes.where(F.col("count") > SQL_FACES).select("mesh_id")
+        least, most = sizes.agg(F.min("count"), F.max("count")).first()
+        if (most or 0) <= SQL_FACES:
+            votes = _votes(tri, settings, "sql")
+        elif least > SQL_FACES:
+            votes = _votes(tri, settings, "arrow")
         else:
-            votes = voting.escape_votes(tallied)
+            votes = _votes(tri.join(large, "mesh_id", "left_anti"), settings, "sql").unionByName(_votes(tri.join(large, "mesh_id", "left_semi"), settings, "arrow"))
     return voting.flips(wound.select("mesh_id", "face_id", "component", "turned"), votes)
 
 

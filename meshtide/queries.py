@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshtide import plans, sources
-from meshtide.functions import quantised, uniform
+from meshtide.functions import STRIDES, quantised, uniform
 from meshtide.model import CORNERS, Settings, bad_corners
 from meshtide.operators import casting, components, evaluate, prep, raster, rays, voting
+from meshtide.operators.staging import saved
 
 FACETS = Settings(rays_total=120, rays_minimum=4, strategy="sql")
 WHOLE = Settings(rays_total=60, rays_minimum=10, facet_wise=False, strategy="sql")
@@ -64,21 +65,20 @@ def doubled(faces: DataFrame) -> DataFrame:
 
 
 def triangles(spark: SparkSession, sf_dir: str, of=boxes) -> DataFrame:
-    """Box triangles with normals, each its own component."""
+    """Box triangles with normals, each its own component, made once."""
     vertices, faces = of(spark, sf_dir)
-    return prep.with_normals(prep.gather(vertices, faces)).withColumn("component", F.col("face_id"))
+    return saved(prep.with_normals(prep.gather(vertices, faces)).withColumn("component", F.col("face_id")), "triangles")
 
 
 def box_lines(spark: SparkSession, sf_dir: str, settings: Settings = FACETS) -> tuple[DataFrame, DataFrame]:
     tri = triangles(spark, sf_dir)
-    return tri, rays.cast_lines(tri, rays.starts(tri, rays.allot(tri, settings), settings), settings)
+    return tri, rays.cast_lines(tri, rays.starts(tri, rays.allot(tri, settings), settings))
 
 
 def whole_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Height-field triangles, wound and numbered by component."""
     vertices, faces = fields(spark, sf_dir)
-    wound = components.orient_components(faces)
-    return prep.with_normals(prep.gather(vertices, wound)).join(wound.select("mesh_id", "face_id", "component"), ["mesh_id", "face_id"])
+    return saved(prep.with_normals(prep.gather(vertices, components.orient_components(faces), "component")), "triangles")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,19 +143,22 @@ def _allot(s: Settings) -> str:
   allot as (select mesh_id, component, area, case when area = 0 then 0 else greatest(cast(floor({total} * area / nullif(mesh_area, 0)::double + 1e-9) as bigint), {s.rays_minimum}) end as rays from cm)"""
 
 
+def _draw(k: int) -> str:
+    return f"((cast(('0x' || substr(m, {6 * k + 1}, 6)) as bigint) / 16777216.0::double + ray_no::double * {STRIDES[k]!r}e0) % 1.0::double)"
+
+
 def _starts(s: Settings) -> str:
-    each = "each_ray as (select mesh_id, component, area, unnest(range(rays::bigint)) as ray_no from allot where rays > 0)"
+    each = f"each_ray as (select mesh_id, component, area, md5(concat_ws('|', '{s.seed}', mesh_id, component::varchar)) as m, unnest(range(rays::bigint)) as ray_no from allot where rays > 0)"
     if s.facet_wise:
-        return f"{each},\n  starts as (select mesh_id, component, ray_no, component as face_id from each_ray)"
-    u = _u(f"'{s.seed}'", "mesh_id", "component::varchar", "ray_no::varchar", "'start'")
+        return f"{each},\n  starts as (select mesh_id, component, ray_no, component as face_id, m from each_ray)"
     return f"""{each},
   reach as (select mesh_id, component, face_id, sum(qa) over (partition by mesh_id, component order by face_id rows unbounded preceding)::bigint as hi, qa from (select *, {_q('dbl_area')} as qa from tri)),
-  starts as (select e.mesh_id, e.component, e.ray_no, r.face_id from (select *, {u} * area as target from each_ray) e
+  starts as (select e.mesh_id, e.component, e.ray_no, r.face_id, e.m from (select *, {_draw(4)} * area as target from each_ray) e
     join reach r on r.mesh_id = e.mesh_id and r.component = e.component and r.qa > 0 and e.target >= r.hi - r.qa and e.target < r.hi)"""
 
 
 def _lines(s: Settings) -> str:
-    us = ", ".join(_u(f"'{s.seed}'", "s.mesh_id", "s.component::varchar", "s.ray_no::varchar", f"'{k}'") + f" as u{k}" for k in range(4))
+    us = ", ".join(f"{_draw(k)} as u{k}" for k in range(4))
     origin = ", ".join(f"(a{x} * (1.0 - root) + b{x} * ((1.0 - u1) * root)) + c{x} * (u1 * root) as o{x}" for x in "xyz")
     unit = ", ".join(f"e1{x} / sqrt({_dot('e1', 'e1')}) as t{x}, n{x} / dbl_area as m{x}" for x in "xyz")
     direction = ", ".join(f"m{x} * up + (t{x} * (side * cos(turn)) + w{x} * (side * sin(turn))) as d{x}" for x in "xyz")
@@ -479,7 +482,7 @@ def w1(spark, sf_dir):
 @query("w2_weighted_pick", f"{_WHOLE_CHAIN} select mesh_id, component, ray_no, face_id from starts", recursive=True)
 def w2(spark, sf_dir):
     tri = whole_field(spark, sf_dir)
-    return rays.starts(tri, rays.allot(tri, WHOLE), WHOLE).withColumn("ray_no", F.col("ray_no").cast("bigint"))
+    return rays.starts(tri, rays.allot(tri, WHOLE), WHOLE).select("mesh_id", "component", F.col("ray_no").cast("bigint").alias("ray_no"), "face_id")
 
 
 _WHOLE_VOTE = ",\n  ".join((_WHOLE_CHAIN, _lines(WHOLE), _HITS, _NEAREST, _TALLY, _VOTE))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,45 +81,57 @@ def write_results(results: DataFrame, path: str) -> None:
     format_results(results).write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
 
 
+# fixed values of the format: kinds of geometry by how they are laid out, and the flags of extended codes
+WKB_POINT, WKB_LINE, WKB_RINGS = frozenset([1]), frozenset([2]), frozenset([3, 17])
+WKB_HAS_Z, WKB_HAS_M, WKB_HAS_ID = 0x80000000, 0x40000000, 0x20000000
+
+
+class Cursor:
+    """A place in a well-known binary that moves on as values are taken; the byte order changes with each geometry."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.order = data, 0, "<"
+
+    def take(self, layout: str, n: int = 1) -> np.ndarray:
+        kind = np.dtype(self.order + layout)
+        found = np.frombuffer(self.data, kind, n, self.at)
+        self.at += kind.itemsize * n
+        return found
+
+    def number(self) -> int:
+        return int(self.take("u4")[0])
+
+    def points(self, n: int, width: int) -> np.ndarray:
+        return self.take("f8", n * width).reshape(n, width)
+
+    def head(self) -> tuple[int, bool, bool]:
+        """Kind of the geometry that begins here, and whether its points have z and m."""
+        self.order = "<" if self.take("u1")[0] else ">"
+        code = self.number()
+        if code & WKB_HAS_ID:
+            self.number()
+        thousands, kind = divmod(code & 0x0FFFFFFF, 1000)
+        return kind, bool(code & WKB_HAS_Z) or thousands in (1, 3), bool(code & WKB_HAS_M) or thousands in (2, 3)
+
+
 def read_rings(data: bytes) -> list[list[list[tuple[float, float, float]]]]:
-    """Polygons of a well-known binary: each a list of rings without their closing corner. Points and lines have none; every other kind is walked."""
-    made: list[list[list[tuple[float, float, float]]]] = []
-
-    def walk(at: int) -> int:
-        order = "<" if data[at] else ">"
-        (kind,) = struct.unpack_from(order + "I", data, at + 1)
-        at += 5
-        high, measured = bool(kind & 0x80000000), bool(kind & 0x40000000)
-        if kind & 0x20000000:
-            at += 4
-        kind &= 0x0FFFFFFF
-        high, measured, kind = high or kind // 1000 in (1, 3), measured or kind // 1000 in (2, 3), kind % 1000
-        width = 2 + high + measured
-
-        def corners(at: int) -> tuple[list[tuple[float, float, float]], int]:
-            (n,) = struct.unpack_from(order + "I", data, at)
-            flat = struct.unpack_from(f"{order}{n * width}d", data, at + 4)
-            return [(flat[i], flat[i + 1], flat[i + 2] if high else 0.0) for i in range(0, n * width, width)], at + 4 + 8 * n * width
-
-        if kind == 1:
-            return at + 8 * width
-        if kind == 2:
-            return corners(at)[1]
-        (n,) = struct.unpack_from(order + "I", data, at)
-        at += 4
-        if kind in (3, 17):
-            rings = []
-            for _ in range(n):
-                ring, at = corners(at)
-                rings.append(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)
-            made.append(rings)
-        else:
-            for _ in range(n):
-                at = walk(at)
-        return at
-
-    walk(0)
-    return made
+    """Polygons of a well-known binary: each a list of rings without their closing corner. Points and lines have none; what any other kind holds is read in turn."""
+    cursor, polygons, waiting = Cursor(data), [], 1
+    while waiting:
+        waiting -= 1
+        kind, z, m = cursor.head()
+        width = 2 + z + m
+        if kind in WKB_POINT:
+            cursor.points(1, width)
+        elif kind in WKB_LINE:
+            cursor.points(cursor.number(), width)
+        elif kind in WKB_RINGS:
+            rings = [cursor.points(cursor.number(), width) for _ in range(cursor.number())]
+            solid = [np.column_stack([r[:, :2], r[:, 2] if z else np.zeros(len(r))]) for r in rings]
+            polygons.append([list(map(tuple, (r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r).tolist())) for r in solid])
+        else:  # members follow one another, and theirs before the next
+            waiting += cursor.number()
+    return polygons
 
 
 def rings_of(shapes: DataFrame) -> DataFrame:
