@@ -12,6 +12,7 @@ a mesh with many rays is dealt to many tasks, each with all its triangles and it
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from meshtide.operators.rays import GRAZING
 LINE_HITS = "mesh_id string, component bigint, front_escapes bigint, back_escapes bigint, front_distance bigint, back_distance bigint"
 #: Rays a task of the Arrow way casts, about.
 TASK_RAYS = 500_000
-LEAF = 4
+LEAF = 16
 
 
 def line_hits(lines: DataFrame, tri: DataFrame) -> DataFrame:
@@ -197,9 +198,9 @@ def cast_in_arrow(tri: DataFrame, allotted: DataFrame, settings: Settings) -> Da
     tasks = allotted.groupBy("mesh_id").agg(F.greatest(F.lit(1), F.ceil(F.sum("rays") / TASK_RAYS)).cast("int").alias("shares"))
     dealt = tri.join(rays, ["mesh_id", "component"]).join(tasks, "mesh_id").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
 
-    def run(key, table):
-        table = table.sort_by("face_id")
-        mesh, share, shares = key[0].as_py(), key[1].as_py(), table["shares"][0].as_py()
+    def run(table: pa.Table) -> pa.Table:
+        """Tallies of one mesh and share, whose triangles stand in order of face_id."""
+        mesh, share, shares = (table[k][0].as_py() for k in ("mesh_id", "share", "shares"))
         a, b, c = (np.stack([table[f"{k}{x}"].to_numpy() for x in AXES], 1) for k in CORNERS)
         component, area = table["component"].to_numpy(), np.floor(table["dbl_area"].to_numpy() * 1e6 + 0.5).astype(np.int64)
         names, first_of, number = np.unique(component, return_index=True, return_inverse=True)
@@ -224,8 +225,8 @@ def cast_in_arrow(tri: DataFrame, allotted: DataFrame, settings: Settings) -> Da
         face = order[low]
         tree = Hierarchy(a, b, c)
         out = np.zeros((len(names), 4), np.int64)
-        for i in range(0, len(face), 100_000):
-            f, v, g = face[i : i + 100_000], u[i : i + 100_000], group[i : i + 100_000]
+        for i in range(0, len(face), 20_000):
+            f, v, g = face[i : i + 20_000], u[i : i + 20_000], group[i : i + 20_000]
             root = np.sqrt(v[:, 0:1])
             o = (1 - root) * a[f] + (1 - v[:, 1:2]) * root * b[f] + v[:, 1:2] * root * c[f]
             n = np.cross(b[f] - a[f], c[f] - a[f])
@@ -244,7 +245,32 @@ def cast_in_arrow(tri: DataFrame, allotted: DataFrame, settings: Settings) -> Da
                     gone = np.isinf(x)
                     out[:, k] += np.bincount(g, gone, len(names)).astype(np.int64)
                     out[:, 2 + k] += np.bincount(g, np.floor(np.where(gone, 0, x) * 1e6 + 0.5), len(names)).astype(np.int64)
-        return pa.table({"mesh_id": pa.array([key[0].as_py()] * len(names)), "component": pa.array(names), **{k: pa.array(out[:, i]) for i, k in enumerate(("front_escapes", "back_escapes", "front_distance", "back_distance"))}})
-
-    partial = dealt.groupBy("mesh_id", "share").applyInArrow(run, LINE_HITS)
+        return pa.table({"mesh_id": pa.array([mesh] * len(names), pa.string()), "component": pa.array(names), **{k: pa.array(out[:, i]) for i, k in enumerate(("front_escapes", "back_escapes", "front_distance", "back_distance"))}})
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task holds the triangles of one mesh; small meshes come by the batch, without a call of their own
+        held: list[pa.RecordBatch] = []
+        place = None
+        for batch in batches:
+            mesh, share = batch.column("mesh_id"), batch.column("share").to_numpy()
+            code = mesh.dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((code[1:] != code[:-1]) | (share[1:] != share[:-1])) + 1
+            done = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(code)], strict=True):
+                if a == b:
+                    continue
+                here = (mesh[a].as_py(), share[a])
+                if held and here != place:
+                    done.append(run(pa.Table.from_batches(held)))
+                    held = []
+                place = here
+                held.append(batch.slice(a, b - a))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from run(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    columns = ["mesh_id", "share", "shares", "face_id", "component", "dbl_area", "rays", *(f"{k}{x}" for k in CORNERS for x in AXES)]
+    sorted_ = dealt.select(*columns).repartition("mesh_id", "share").sortWithinPartitions("mesh_id", "share", "face_id")
+    partial = sorted_.mapInArrow(stream, LINE_HITS)
     return partial.groupBy("mesh_id", "component").agg(*(F.sum(k).alias(k) for k in ("front_escapes", "back_escapes", "front_distance", "back_distance")))

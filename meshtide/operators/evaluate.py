@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshtide.operators.staging import saved
+
 
 def by_method(results: DataFrame, methods: list[str]) -> DataFrame:
     """A row per mass, its triangles and a column of scores per method."""
@@ -46,3 +48,12 @@ def select_corpus(scored: DataFrame, keep: int = 50, smallest: int = 300, larges
     rest = scored.join(large.select("mass"), "mass", "left_anti").where(F.col("triangles") >= smallest)
     mixed = rest.orderBy(F.desc(F.least("backfacingness", 1 - F.col("backfacingness"))), "mass").limit(keep).select("mass", F.lit("mixed").alias("reason"))
     return large.unionByName(mixed)
+
+
+def placed(table: DataFrame, *keys: str) -> DataFrame:
+    """table with place, from 1, in the order of the keys. The table is sorted by ranges into many tasks; only their sizes meet."""
+    dealt = saved(table.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id()), "placed")
+    # one row a range; its first number and how many rows are before it
+    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("first"))
+    before = parts.select("part", "first", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return dealt.join(F.broadcast(before), "part").withColumn("place", F.col("n") - F.col("first") + F.col("before") + 1).drop("part", "n", "first", "before")

@@ -521,11 +521,7 @@ def t5(spark, sf_dir):
 
 @query("t6_by_score", _RESULTS + " select mass, published, row_number() over (order by published, mass) as place from wide")
 def t6(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # one row per mass of the corpus: the whole table is the report
-    wide = evaluate.by_method(results(spark, sf_dir), _METHODS)
-    return wide.select("mass", "published", F.row_number().over(Window.orderBy("published", "mass")).cast("bigint").alias("place"))
+    return evaluate.placed(evaluate.by_method(results(spark, sf_dir), _METHODS).select("mass", "published"), "published", "mass")
 
 
 @query("t7_corpus_selection", _RESULTS + """, large as (select mass from wide order by triangles desc, mass limit 10), mixed as (select mass from wide where mass not in (select mass from large) and triangles >= 300 order by least(published, 1 - published) desc, mass limit 50)
