@@ -41,6 +41,8 @@ FLUSH, FLUSH_ASKED = 3_000_000, 700_000
 MAX_COPIES = 4_000_000
 #: Documents with marks are known by their ids to all tasks up to so many.
 MAX_MARKED = 1_000_000
+#: Parts into which the copies of one text are dealt.
+SALTS = 16
 NO_ID = -(2**63)
 BASE = "doc_id long, sig long, text string"
 
@@ -73,14 +75,15 @@ def _sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed_documents(base: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """base as BASE, and (doc_id, sig, n_words, h1, h2) of each row. sig tells the texts of one doc_id apart; it is 0 where there is one."""
+    """base as BASE, and (doc_id, sig, n_words, h1, h2, salt) of each row. sig tells the texts of one doc_id apart; it is 0 where there is one."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, n = _sequences(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "n_words", "h1", "h2"])
+            salt = (np.arange(len(n)) % SALTS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(salt)], ["doc_id", "n_words", "h1", "h2", "salt"])
 
-    each = saved(base.mapInArrow(digest, "doc_id long, n_words long, h1 long, h2 long"), "substring-docs")
+    each = saved(base.mapInArrow(digest, "doc_id long, n_words long, h1 long, h2 long, salt int"), "substring-docs")
     sides = each.groupBy("doc_id").agg(*(f(x).alias(f"{f.__name__}_{x}") for x in ("h1", "h2") for f in (F.min, F.max)))
     several = saved(sides.where("min_h1 <> max_h1 or min_h2 <> max_h2").select("doc_id"), "substring-ids")
     n = several.count()
@@ -104,8 +107,11 @@ def keyed_documents(base: DataFrame, store: Store) -> tuple[DataFrame, DataFrame
 
 def whole_copies(each: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, sig) of the documents of at least a window whose word sequence a smaller doc_id has too."""
-    first = each.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return each.where(F.col("n_words") >= window).join(first, ["h1", "h2", "n_words"]).where("doc_id > keep").select("doc_id", "sig").distinct()
+    long = each.where(F.col("n_words") >= window)
+    first = long.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    # a group is told to those parts of its rows that there are, so that many copies of one text are dealt to many tasks
+    first = first.withColumn("salt", F.explode("salts")).select("h1", "h2", "n_words", "salt", "keep")
+    return long.join(first, ["h1", "h2", "n_words", "salt"]).where("doc_id > keep").select("doc_id", "sig").distinct()
 
 
 class Copies:
