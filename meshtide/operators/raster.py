@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,27 +87,91 @@ def backfacingness(pixels: DataFrame, meshes: DataFrame) -> DataFrame:
     return meshes.select("mesh_id").distinct().join(share, "mesh_id", "left").select("mesh_id", F.coalesce("share", F.lit(0.0)).alias("backfacingness"))
 
 
-def find_visible(tri: DataFrame, eye: tuple[float, float, float], forward: tuple[float, float, float], up: tuple[float, float, float], half: float, resolution: int, plane: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """(mesh_id, py, px, face_id): the nearest face in each pixel of one orthographic camera; plane keeps what lies where its form is not negative."""
+def camera(elevation: float = 30, azimuth: float = -55) -> tuple[tuple[float, float, float], ...]:
+    """Right, up and toward the viewer of a camera that looks down at an angle, in degrees."""
+    e, a = math.radians(elevation), math.radians(azimuth)
+    toward = (math.cos(e) * math.cos(a), math.cos(e) * math.sin(a), math.sin(e))
+    right = (-math.sin(a), math.cos(a), 0.0)
+    up = tuple(toward[(i + 1) % 3] * right[(i + 2) % 3] - toward[(i + 2) % 3] * right[(i + 1) % 3] for i in range(3))
+    return right, up, toward
 
-    def cross(p, q):
-        return (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
 
-    side = cross(forward, up)
-    above = cross(side, forward)
+def cutting_planes(vertices: DataFrame, view: tuple[tuple[float, float, float], ...]) -> DataFrame:
+    """(mesh_id, point_x .. point_z, away_x .. away_z): per mesh, a vertical plane through the middle, square to the viewer; what lies toward them is cut away."""
+    x, y, _ = view[2]
+    away = (x / math.hypot(x, y), y / math.hypot(x, y), 0.0)
+    return vertices.groupBy("mesh_id").agg(*(((F.min(k) + F.max(k)) / 2.0).alias(f"point_{k}") for k in AXES)).select("*", *(F.lit(v).alias(f"away_{k}") for k, v in zip(AXES, away, strict=True)))
+
+
+def find_visible(tri: DataFrame, view: tuple[tuple[float, float, float], ...], size: int, planes: DataFrame | None = None) -> DataFrame:
+    """(mesh_id, py, px, face_id): the face each pixel shows, rows from the top, in an orthographic view that the mesh fills.
+
+    With planes, as cutting_planes makes them, what lies on the side their normals point to is cut away pixel by pixel, and the
+    frame is of the corners that are left. Faces are taken in order; one replaces another where it is nearer by more
+    than a millionth of the mesh's depth, so faces drawn twice on one plane show the first.
+    """
     lit = lambda v: tuple(F.lit(float(x)) for x in v)
-    cols = {}
-    for k in CORNERS:
-        d = sub(vector(k), lit(eye))
-        cols[f"{k}_px"] = (dot(lit(side), d) / half + 1.0) / 2.0 * resolution
-        cols[f"{k}_py"] = (dot(lit(above), d) / half + 1.0) / 2.0 * resolution
-        cols[f"{k}_pz"] = dot(lit(forward), d)
-    kept = tri
-    if plane is not None:
-        for k in CORNERS:
-            kept = kept.where(dot(lit(plane[:3]), vector(k)) + plane[3] >= 0)
-    flat = kept.select("mesh_id", "face_id", F.lit(0).alias("view"), F.lit(float(half)).alias("r"), *(v.alias(n) for n, v in cols.items()))
+    seen = tri.withColumns({f"{k}_{n}": dot(vector(k), lit(row)) for k in CORNERS for n, row in zip("uvw", view, strict=True)})
+    if planes is None:
+        seen = seen.withColumns({f"{k}_side": F.lit(0.0) for k in CORNERS})
+    else:
+        seen = seen.join(planes, "mesh_id").withColumns({f"{k}_side": dot(sub(vector(k), vector("point_")), vector("away_")) for k in CORNERS})
+    least = lambda n, kept: F.min(F.least(*(F.when(F.col(f"{k}_side") <= 0, F.col(f"{k}_{n}")) if kept else F.col(f"{k}_{n}") for k in CORNERS)))
+    most = lambda n, kept: F.max(F.greatest(*(F.when(F.col(f"{k}_side") <= 0, F.col(f"{k}_{n}")) if kept else F.col(f"{k}_{n}") for k in CORNERS)))
+    # a mesh of which nothing is left is framed whole
+    low, high = {n: F.coalesce(least(n, True), least(n, False)) for n in "uv"}, {n: F.coalesce(most(n, True), most(n, False)) for n in "uv"}
+    frame = seen.groupBy("mesh_id").agg(
+        *(((low[n] + high[n]) / 2.0).alias(f"middle_{n}") for n in "uv"),
+        (F.lit(0.92 * size) / F.greatest(high["u"] - low["u"], high["v"] - low["v"])).alias("zoom"),
+        (1e-6 * (most("w", False) - least("w", False) + 1.0)).alias("tie"),
+    )
+    placed = seen.join(frame, "mesh_id")
+    placed = placed.withColumns({f"{k}_px": (F.col(f"{k}_u") - F.col("middle_u")) * F.col("zoom") + size / 2 for k in CORNERS} | {f"{k}_py": size / 2 - (F.col(f"{k}_v") - F.col("middle_v")) * F.col("zoom") for k in CORNERS})
     area = (F.col("b_px") - F.col("a_px")) * (F.col("c_py") - F.col("a_py")) - (F.col("b_py") - F.col("a_py")) * (F.col("c_px") - F.col("a_px"))
-    screen = flat.withColumn("area", area).where("area <> 0").withColumn("shows", F.lit(1))
-    nearest = fragments(screen, resolution).groupBy("mesh_id", "py", "px").agg(F.min(F.struct("z", "face_id")).alias("n"))
-    return nearest.select("mesh_id", "py", "px", F.col("n.face_id").alias("face_id"))
+
+    def bounds(n: str):
+        cols = [F.col(f"{k}_p{n}") for k in CORNERS]
+        return F.greatest(F.floor(F.least(*cols)), F.lit(0)).cast("int"), F.least(F.ceil(F.greatest(*cols)), F.lit(size)).cast("int")
+
+    (x0, x1), (y0, y1) = bounds("x"), bounds("y")
+    boxed = placed.withColumn("area", area).where("area <> 0").withColumns({"x0": x0, "x1": x1, "y0": y0, "y1": y1}).where("x0 < x1 and y0 < y1")
+    rows = boxed.withColumn("py", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
+    each = rows.withColumn("px", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)))
+    px, py = F.col("px") + 0.5, F.col("py") + 0.5
+    wa = ((F.col("b_px") - px) * (F.col("c_py") - py) - (F.col("b_py") - py) * (F.col("c_px") - px)) / F.col("area")
+    wb = ((F.col("c_px") - px) * (F.col("a_py") - py) - (F.col("c_py") - py) * (F.col("a_px") - px)) / F.col("area")
+    weighed = each.withColumns({"wa": wa, "wb": wb}).withColumn("wc", 1.0 - F.col("wa") - F.col("wb")).where("wa >= 0 and wb >= 0 and wc >= 0")
+    mixed = lambda n: F.col("wa") * F.col(f"a_{n}") + F.col("wb") * F.col(f"b_{n}") + F.col("wc") * F.col(f"c_{n}")
+    kept = weighed.withColumns({"z": mixed("w"), "side": mixed("side")}).where("side <= 0")
+    layers = kept.groupBy("mesh_id", "py", "px").agg(F.array_sort(F.collect_list(F.struct("face_id", "z"))).alias("layers"), F.first("tie").alias("tie"))
+    shown = F.aggregate("layers", F.struct(F.lit(-1).cast("bigint").alias("face_id"), F.lit(float("-inf")).alias("z")), lambda acc, x: F.when(x["z"] > acc["z"] + F.col("tie"), x).otherwise(acc))
+    return layers.select("mesh_id", "py", "px", shown["face_id"].alias("face_id"))
+
+
+def dense_views(pixels: DataFrame, resolution: int) -> DataFrame:
+    """(mesh_id, view, image): each view's pixels as resolution * resolution bytes, row by row from the bottom; 0 where nothing is drawn."""
+
+    def fill(key, table):
+        image = np.zeros((resolution, resolution), np.uint8)
+        image[table["py"].to_numpy(), table["px"].to_numpy()] = table["shows"].to_numpy()
+        return pa.table({"mesh_id": pa.array([key[0].as_py()]), "view": pa.array([key[1].as_py()], pa.int32()), "image": pa.array([image.tobytes()], pa.binary())})
+
+    return pixels.select("mesh_id", "view", "py", "px", "shows").groupBy("mesh_id", "view").applyInArrow(fill, "mesh_id string, view int, image binary")
+
+
+def views_array(pixels: DataFrame, mesh_id: str, resolution: int) -> np.ndarray:
+    """One mesh's six views as an array of 6 x resolution x resolution bytes, on the driver."""
+    out = np.zeros((6, resolution, resolution), np.uint8)
+    for r in dense_views(pixels.where(F.col("mesh_id") == mesh_id), resolution).collect():  # six rows
+        out[r["view"]] = np.frombuffer(r["image"], np.uint8).reshape(resolution, resolution)
+    return out
+
+
+def png(image: np.ndarray) -> bytes:
+    """A picture file of an image of bytes, rows from the top: grey (two axes) or red, green and blue (three)."""
+    image = np.ascontiguousarray(image, np.uint8)
+    height, width = image.shape[:2]
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    rows = np.column_stack([np.zeros(height, np.uint8), image.reshape(height, -1)]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")

@@ -7,6 +7,7 @@ fields of eight by eight vertices over runs of 64 parts. Both are made by expres
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from meshtide import plans, sources
 from meshtide.functions import STRIDES, quantised, uniform
 from meshtide.model import CORNERS, Settings, bad_corners
 from meshtide.operators import casting, components, evaluate, prep, raster, rays, voting
-from meshtide.operators.staging import saved
+from meshtide.operators.staging import saved, shared_folder
 
 FACETS = Settings(rays_total=120, rays_minimum=4, strategy="sql")
 WHOLE = Settings(rays_total=60, rays_minimum=10, facet_wise=False, strategy="sql")
@@ -215,9 +216,12 @@ def s1_faces(spark, sf_dir):
     return sources.parse_off(sources.format_off(*boxes(spark, sf_dir)))[1]
 
 
-@query("s2_corpus_scan", BOXES + " select v.mesh_id, count(distinct vertex_id) as vertices, any_value(n) as faces from v join (select mesh_id, count(*) as n from f group by 1) g on g.mesh_id = v.mesh_id group by 1")
+@query("s2_corpus_scan", FIELDS + " select v.mesh_id, count(distinct vertex_id) as vertices, any_value(n) as faces from v join (select mesh_id, count(*) as n from f group by 1) g on g.mesh_id = v.mesh_id group by 1")
 def s2(spark, sf_dir):
-    v, f = boxes(spark, sf_dir)
+    """Height fields written as OFF files, a file a mesh, and the folder scanned."""
+    path = f"{shared_folder(spark)}/off-{uuid.uuid4().hex}"
+    sources.write_off(*fields(spark, sf_dir), path)
+    v, f = sources.read_written(spark, path)
     return v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertices")).join(f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces")), "mesh_id")
 
 
@@ -550,3 +554,41 @@ def x2(spark, sf_dir):
     """The Arrow way on all boxes, those without floor too; no SQL draws the same rays, a test casts some by brute force."""
     v, f = boxes(spark, sf_dir)
     return plans.reorient_facets_raycast(v, f, check=False, rays_total=600, strategy="arrow").drop("component")
+
+
+# --- odd faces, comparators, the whole evaluation -----------------------------------------------------------
+
+#: Height fields with, beside some faces, one that has two equal corners and one more on an edge of theirs.
+ODD = FIELDS.replace("f as (", "f1 as (") + """,
+  f as (select * from f1 union all select mesh_id, face_id + 100000, a, a, b from f1 where face_id % 10 = 0 union all select mesh_id, face_id + 200000, b, a, (a + b) % 64 from f1 where face_id % 7 = 0)"""
+
+
+def odd_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v, f = fields(spark, sf_dir)
+    same = f.where("face_id % 10 = 0").select("mesh_id", (F.col("face_id") + 100000).alias("face_id"), "a", F.col("a").alias("b"), F.col("b").alias("c"))
+    third = f.where("face_id % 7 = 0").select("mesh_id", (F.col("face_id") + 200000).alias("face_id"), F.col("b").alias("a"), F.col("a").alias("b"), ((F.col("a") + F.col("b")) % 64).alias("c"))
+    corners = v.select("mesh_id", F.col("vertex_id").alias("c"))
+    return v, f.unionByName(same).unionByName(third.join(corners, ["mesh_id", "c"], "left_semi").select(*f.columns))
+
+
+@query("g2_g3_edge_rules", f"{ODD.replace('where face_id % 7 = 0', 'where face_id % 7 = 0 and (mesh_id, (a + b) % 64) in (select mesh_id, vertex_id from v)')},\n  {_PAIRS} select mesh_id, f1, f2 from pairs")
+def g2_g3(spark, sf_dir):
+    return prep.edge_pairs(odd_fields(spark, sf_dir)[1])
+
+
+@query("p7_zero_area", f"{ODD.replace('where face_id % 7 = 0', 'where face_id % 7 = 0 and (mesh_id, (a + b) % 64) in (select mesh_id, vertex_id from v)')},\n  {_tri()},\n  {_allot(FACETS)} select mesh_id, component, rays from allot where area = 0")
+def p7(spark, sf_dir):
+    tri = triangles(spark, sf_dir, odd_fields)
+    return rays.allot(tri, FACETS).where("area = 0").select("mesh_id", "component", "rays")
+
+
+@query("r14_signed_volume", f"{BOXES},\n  {_tri()}, x as (select *, {_cross('b', 'c', 'x')} from tri) select mesh_id, 0 as component, sum({_q(_dot('a', 'x'))}) < 0 as vote from x group by 1")
+def r14(spark, sf_dir):
+    return voting.volume_votes(triangles(spark, sf_dir).withColumn("component", F.lit(0)))
+
+
+@query("j9_evaluate_corpus", None)
+def j9(spark, sf_dir):
+    """Every method on every height field; the SQL of its parts is in a10, a11, a7 and w3, a test holds the whole against them."""
+    methods = {"components": {"facet_wise": False, "rays_total": 60}, "facet-wise": {"rays_total": 120, "rays_minimum": 4}}
+    return plans.evaluate_corpus(*fields(spark, sf_dir), resolution=16, methods=methods)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +51,9 @@ def format_off(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def write_off(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     """One text a mesh under path/mesh_id=<name>/."""
-    format_off(vertices, faces).write.mode("overwrite").partitionBy("mesh_id").option("lineSep", "").text(path)
+    # the writer ends the text with the line's end that is taken off here
+    texts = format_off(vertices, faces).select("mesh_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+    texts.write.mode("overwrite").partitionBy("mesh_id").text(path)
 
 
 def from_arrays(spark: SparkSession, mesh_id: str, vertices, faces) -> tuple[DataFrame, DataFrame]:
@@ -153,3 +157,18 @@ def rings_of(shapes: DataFrame) -> DataFrame:
 
     kind = shapes.schema["shape_id"].dataType.simpleString()
     return shapes.select("shape_id", "wkb").mapInArrow(run, f"shape_id {kind}, polygon int, ring int, i int, x double, y double, z double")
+
+
+def read_written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of what write_off left under path: one file a mesh, named by its folder."""
+    return parse_off(spark.read.text(path, wholetext=True).select(F.col("mesh_id").cast("string").alias("mesh_id"), F.col("value").alias("text")))
+
+
+def find_geodatabase(spark: SparkSession, path: str) -> str:
+    """The first geodatabase folder inside a zip file, as <path>/<folder>.gdb; ValueError if it holds none."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    names = zipfile.ZipFile(io.BytesIO(bytes(content))).namelist()
+    folders = [before for before, inside, _ in (n.partition(".gdb/") for n in names) if inside]
+    if not folders:
+        raise ValueError(f"no geodatabase in {path}")
+    return f"{path}/{folders[0]}.gdb"
