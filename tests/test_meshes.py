@@ -211,8 +211,8 @@ def test_search_winds_neighbours_to_agree(corners):
 
 def test_camera_sees_the_near_face(spark):
     v, f = arrays(spark, shapes.BOX)
-    seen = raster.find_visible(prep.gather(v, f), (0.5, -2.0, 0.5), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), 1.0, 16)
-    rows = seen.collect()
+    view = ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, -1.0, 0.0))  # from the south
+    rows = raster.find_visible(prep.gather(v, f), view, 16).collect()
     assert rows and {r.face_id for r in rows} <= {4, 5}
-    cut = raster.find_visible(prep.gather(v, f), (0.5, -2.0, 0.5), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), 1.0, 16, plane=(0.0, 1.0, 0.0, -0.5))
+    cut = raster.find_visible(prep.gather(v, f), view, 16, raster.cutting_planes(v, view))
     assert {r.face_id for r in cut.collect()} <= {6, 7}
