@@ -378,7 +378,12 @@ def a6(spark, sf_dir):
     return voting.parity_votes(casting.tally_odd(casting.crossings(lines, tri)))
 
 
-@query("a7_flips", f"{_FACET_CHAIN},\n  {_NEAREST},\n  {_TALLY},\n  {_VOTE} select f.mesh_id, f.face_id, coalesce(vote, false) as flip, f.face_id as component from f left join votes on votes.mesh_id = f.mesh_id and component = face_id")
+_FLIPS = "select f.mesh_id, f.face_id, coalesce(vote, false) as flip, f.face_id as component from f left join votes on votes.mesh_id = f.mesh_id and component = face_id"
+_FACET_FLIPS = f"{_FACET_CHAIN},\n  {_NEAREST},\n  {_TALLY},\n  {_VOTE} {_FLIPS}"
+_PARITY_FLIPS = f"{_CROSSED}, votes as (select mesh_id, component, sum(front % 2) > sum(back % 2) as vote from crossed group by 1, 2) {_FLIPS}"
+
+
+@query("a7_flips", _FACET_FLIPS)
 def a7(spark, sf_dir):
     v, f = boxes(spark, sf_dir)
     return plans.reorient_facets_raycast(v, f, check=False, rays_total=FACETS.rays_total, rays_minimum=FACETS.rays_minimum, strategy="sql")
@@ -541,21 +546,39 @@ def u1(spark, sf_dir):
     return r.where("method = 'published'").unionByName(r.where("method <> 'published'"))
 
 
-@query("x1_arrow_flips", f"{_FACET_CHAIN} select f.mesh_id, f.face_id, {_u(chr(39) + 'wind' + chr(39), 'f.mesh_id', 'f.face_id::varchar')} < 0.5 as flip from f where substr(mesh_id, 2)::bigint % 3 <> 0")
+@query("x1_arrow_flips", _FACET_FLIPS)
 def x1(spark, sf_dir):
-    """The Arrow way on closed boxes, whose answer is known: the reversed faces flip."""
+    """The Arrow way on all boxes, open ones too, held against the SQL that casts the same rays."""
     v, f = boxes(spark, sf_dir)
-    closed = "substr(mesh_id, 2) % 3 <> 0"
-    return plans.reorient_facets_raycast(v.where(closed), f.where(closed), check=False, rays_total=600, strategy="arrow").drop("component")
+    return plans.reorient_facets_raycast(v, f, check=False, rays_total=FACETS.rays_total, rays_minimum=FACETS.rays_minimum, strategy="arrow")
 
 
 @query("x2_arrow_flips_all", None)
 def x2(spark, sf_dir):
-    """The Arrow way on all boxes, those without floor too; no SQL draws the same rays, a test casts some by brute force."""
+    """The Arrow way on all boxes with five times the rays; a test casts some by brute force."""
     v, f = boxes(spark, sf_dir)
     return plans.reorient_facets_raycast(v, f, check=False, rays_total=600, strategy="arrow").drop("component")
 
 
+@query("x3_default_flips", None)
+def x3(spark, sf_dir):
+    """All boxes with the default settings, a hundred rays a face; a test casts some by brute force."""
+    return plans.reorient_facets_raycast(*boxes(spark, sf_dir)).drop("component")
+
+
+@query("x4_arrow_parity", _PARITY_FLIPS)
+def x4(spark, sf_dir):
+    """The Arrow way with votes by crossings, all boxes, held against the SQL that casts the same rays."""
+    v, f = boxes(spark, sf_dir)
+    return plans.reorient_facets_raycast(v, f, check=False, rays_total=FACETS.rays_total, rays_minimum=FACETS.rays_minimum, use_parity=True, strategy="arrow")
+
+
+@query("x5_default_backfacingness", None)
+def x5(spark, sf_dir):
+    """The score of every height field at the default resolution; a test holds the score against brute force."""
+    return plans.measure_backfacingness(*fields(spark, sf_dir))
+
+
 # --- odd faces, comparators, the whole evaluation -----------------------------------------------------------
 
 #: Height fields with, beside some faces, one that has two equal corners and one more on an edge of theirs.
