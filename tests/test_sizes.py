@@ -9,6 +9,7 @@ from meshtide import queries
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "p1_gather",
+    "s3_bad_corners",
 ]
 
 
