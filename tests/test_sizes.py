@@ -10,6 +10,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "p1_gather",
     "s3_bad_corners",
+    "p5_apply_flips",
 ]
 
 
