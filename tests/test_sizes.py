@@ -11,6 +11,7 @@ NAMES = [
     "p1_gather",
     "s3_bad_corners",
     "p5_apply_flips",
+    "p6_turned",
 ]
 
 
