@@ -12,6 +12,7 @@ NAMES = [
     "s3_bad_corners",
     "p5_apply_flips",
     "p6_turned",
+    "p9_screen",
 ]
 
 
