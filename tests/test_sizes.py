@@ -13,6 +13,7 @@ NAMES = [
     "p5_apply_flips",
     "p6_turned",
     "p9_screen",
+    "a7_flips",
 ]
 
 
