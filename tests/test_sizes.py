@@ -14,6 +14,7 @@ NAMES = [
     "p6_turned",
     "p9_screen",
     "a7_flips",
+    "j3_nearest_hit",
 ]
 
 
