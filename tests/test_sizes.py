@@ -15,6 +15,7 @@ NAMES = [
     "p9_screen",
     "a7_flips",
     "j3_nearest_hit",
+    "a4_escape_tally",
 ]
 
 
