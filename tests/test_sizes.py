@@ -16,6 +16,7 @@ NAMES = [
     "a7_flips",
     "j3_nearest_hit",
     "a4_escape_tally",
+    "a5_escape_vote",
 ]
 
 
