@@ -17,6 +17,7 @@ NAMES = [
     "j3_nearest_hit",
     "a4_escape_tally",
     "a5_escape_vote",
+    "j4_crossings",
 ]
 
 
