@@ -18,6 +18,7 @@ NAMES = [
     "a4_escape_tally",
     "a5_escape_vote",
     "j4_crossings",
+    "a6_parity_vote",
 ]
 
 
