@@ -19,6 +19,7 @@ NAMES = [
     "a5_escape_vote",
     "j4_crossings",
     "a6_parity_vote",
+    "a1_component_area",
 ]
 
 
