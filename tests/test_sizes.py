@@ -20,6 +20,7 @@ NAMES = [
     "j4_crossings",
     "a6_parity_vote",
     "a1_component_area",
+    "a2_mesh_area",
 ]
 
 
