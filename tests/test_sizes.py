@@ -21,6 +21,7 @@ NAMES = [
     "a6_parity_vote",
     "a1_component_area",
     "a2_mesh_area",
+    "a3_ray_allotment",
 ]
 
 
