@@ -22,6 +22,7 @@ NAMES = [
     "a1_component_area",
     "a2_mesh_area",
     "a3_ray_allotment",
+    "p3_normals",
 ]
 
 
