@@ -23,6 +23,7 @@ NAMES = [
     "a2_mesh_area",
     "a3_ray_allotment",
     "p3_normals",
+    "r14_signed_volume",
 ]
 
 
