@@ -24,6 +24,7 @@ NAMES = [
     "a3_ray_allotment",
     "p3_normals",
     "r14_signed_volume",
+    "j9_evaluate_corpus",
 ]
 
 
