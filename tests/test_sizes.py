@@ -25,6 +25,7 @@ NAMES = [
     "p3_normals",
     "r14_signed_volume",
     "j9_evaluate_corpus",
+    "x3_default_flips",
 ]
 
 
