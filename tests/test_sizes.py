@@ -26,6 +26,7 @@ NAMES = [
     "r14_signed_volume",
     "j9_evaluate_corpus",
     "x3_default_flips",
+    "x1_arrow_flips",
 ]
 
 
