@@ -27,6 +27,7 @@ NAMES = [
     "j9_evaluate_corpus",
     "x3_default_flips",
     "x1_arrow_flips",
+    "x4_arrow_parity",
 ]
 
 
