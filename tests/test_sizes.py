@@ -28,6 +28,7 @@ NAMES = [
     "x3_default_flips",
     "x1_arrow_flips",
     "x4_arrow_parity",
+    "x2_arrow_flips_all",
 ]
 
 
