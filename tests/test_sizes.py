@@ -3,8 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from meshtide import plans as plans_of
 from meshtide import queries
+from meshtide.operators import prep, raster
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -49,3 +52,16 @@ def test_nothing_that_grows_is_broadcast(spark, name):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
     plans = plans_run(spark, lambda: queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save())
     assert plans and not [x for x in plans if "BroadcastHashJoin" in x]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("resolution", [7, 200])
+def test_shown_counts_as_the_depth_test(spark, monkeypatch, resolution):
+    """Pixels counted in depth buffers, also by bands of rows, are those of the depth test, and none of them is a row."""
+    monkeypatch.setattr(raster, "BAND_PIXELS", 60 * 200)
+    vertices, faces = queries.fields(spark, SF)
+    screen = raster.screen_triangles(prep.gather(vertices, queries.doubled(faces)), resolution).cache()
+    want = raster.depth_test(raster.fragments(screen, resolution)).groupBy("mesh_id").agg(F.count_if(F.col("shows") == 2), F.count(F.lit(1)))
+    assert sorted(map(tuple, raster.shown(screen, resolution).collect())) == sorted(map(tuple, want.collect()))
+    plans = plans_run(spark, lambda: plans_of.measure_backfacingness(vertices, faces, resolution).collect())
+    assert not [x for x in plans if "px#" in x.replace("_px#", "")]
