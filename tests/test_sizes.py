@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshtide import plans as plans_of
 from meshtide import queries
-from meshtide.operators import prep, raster
+from meshtide.operators import casting, prep, raster
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -65,3 +65,13 @@ def test_shown_counts_as_the_depth_test(spark, monkeypatch, resolution):
     assert sorted(map(tuple, raster.shown(screen, resolution).collect())) == sorted(map(tuple, want.collect()))
     plans = plans_run(spark, lambda: plans_of.measure_backfacingness(vertices, faces, resolution).collect())
     assert not [x for x in plans if "px#" in x.replace("_px#", "")]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_misses_are_left_out_before_the_grouping(spark):
+    """Of the pairs of a line and a face only those that meet are rows, and one row a line more."""
+    tri, lines = queries.box_lines(spark, SF)
+    hits = casting.line_hits(lines, tri)
+    asked, rows, met = lines.count(), hits.count(), hits.where("t is not null").count()
+    assert rows == asked + met and met > 0
+    assert hits.select("mesh_id", "component", "ray_no").distinct().count() == asked
