@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,25 @@ def test_misses_are_left_out_before_the_grouping(spark):
     asked, rows, met = lines.count(), hits.count(), hits.where("t is not null").count()
     assert rows == asked + met and met > 0
     assert hits.select("mesh_id", "component", "ray_no").distinct().count() == asked
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_few_meets_as_the_hierarchy(every):
+    """Small meshes of one call are met as each is by its own hierarchy, faces without area too."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 12, 16, 3, 10])
+    a, b, c = rng.normal(size=(3, sizes.sum(), 3))
+    b[5] = a[5]
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(sizes.sum()), 150)
+    o, d = a[own] + 0.1 * rng.normal(size=(len(own), 3)), rng.normal(size=(len(own), 3))
+    got = casting.Few(a, b, c, sizes).cast(o, d, own, every)
+    for first, last in zip(ends - sizes, ends, strict=True):
+        mine = (own >= first) & (own < last)
+        want = casting.Hierarchy(a[first:last], b[first:last], c[first:last]).cast(o[mine], d[mine], own[mine] - first, every)
+        if every:
+            here = mine[got[0]]
+            place = np.cumsum(mine) - 1
+            assert sorted(zip(place[got[0][here]], got[1][here], strict=True)) == sorted(zip(*want, strict=True))
+        else:
+            assert all((x[mine] == y).all() for x, y in zip(got, want, strict=True))
