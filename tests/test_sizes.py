@@ -98,3 +98,12 @@ def test_few_meets_as_the_hierarchy(every):
             assert sorted(zip(place[got[0][here]], got[1][here], strict=True)) == sorted(zip(*want, strict=True))
         else:
             assert all((x[mine] == y).all() for x, y in zip(got, want, strict=True))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_evaluation_plans_one_method_at_a_time(spark):
+    """No plan of the whole evaluation holds the drawing of two methods."""
+    plans = plans_run(spark, lambda: queries.QUERIES["j9_evaluate_corpus"](spark, SF).collect())
+    drawn = [x.split("== Initial Plan ==")[0].count("mapInArrow") + x.split("== Initial Plan ==")[0].count("MapInArrow") for x in plans]
+    assert len([x for x in drawn if x]) >= 3
+    assert "MapInArrow" not in plans[-1] and "mapInArrow" not in plans[-1]
